@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfspark.plans import page_plans, record_plans, value_plans
+from shelfspark.plans import page_plans, ranking_plans, record_plans, search_plans, value_plans
 
-_MODULES = (page_plans, value_plans, record_plans)
+_MODULES = (page_plans, value_plans, record_plans, search_plans, ranking_plans)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
