@@ -46,21 +46,34 @@ def suggestion_words(tokens: Column) -> Column:
     return F.array_distinct(F.filter(tokens, lambda t: F.length(t) > 1))
 
 
-def term_counts(tokens: Column) -> Column:
-    """Tokens -> array of (term, tf), by sorting and cutting into runs.
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` worked out once per row.
 
-    Counting inside the row keeps the index build free of a shuffle.
+    An expression used inside a lambda is evaluated for every element; a lambda
+    variable is not.
     """
-    terms = F.array_sort(tokens)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(terms: Column) -> Column:
+    """Sorted terms -> one (term, tf) per run of equal terms."""
     size = F.size(terms)
     starts = F.filter(
         F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")),
         lambda i: (i == 1) | (F.get(terms, i - 1) != F.get(terms, i - 2)))
-    return F.transform(
-        starts,
+    return bind(starts, lambda at: F.transform(
+        at,
         lambda start, n: F.struct(
             F.get(terms, start - 1).alias("term"),
-            (F.coalesce(F.get(starts, n + 1), size + 1) - start).alias("tf")))
+            (F.coalesce(F.get(at, n + 1), size + 1) - start).alias("tf"))))
+
+
+def term_counts(tokens: Column) -> Column:
+    """Tokens -> array of (term, tf), by sorting and cutting into runs.
+
+    Counting inside the row keeps the index build free of a shuffle.
+    """
+    return bind(F.sort_array(tokens), _runs)
 
 
 def highlight(text: Column, terms: Column, pre: str, post: str) -> Column:

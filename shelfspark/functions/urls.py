@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.analysis import bind
+
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
 ORIGIN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*"
 PATH_OF = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -42,10 +44,9 @@ def in_domains(url: Column, domains: Sequence[str]) -> Column:
 
 def host_suffixes(url: Column) -> Column:
     """`a.b.c` -> [a.b.c, b.c, c], the join keys for a table of domains."""
-    labels = F.split(host(url), r"\.")
-    return F.transform(
+    return bind(F.split(host(url), r"\."), lambda labels: F.transform(
         F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 def _fold_dots(segments: Column) -> Column:
