@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.schemas import FieldSpec
+from shelfspark.session import spread
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # a start tag of the key ends an open element of the listed names
@@ -178,7 +179,7 @@ def extract_fields(pages: DataFrame, fields: Sequence[FieldSpec], html: str = "h
                 out[name] = [hits[name] for hits in found]
             yield out
 
-    hits = pages.select(*keep, html).mapInPandas(cut, schema)
+    hits = spread(pages.select(*keep, html)).mapInPandas(cut, schema)
     for f in fields:
         if f.column_fn is not None:
             hits = hits.withColumn(f.name, f.column_fn(F.col(f.name)))

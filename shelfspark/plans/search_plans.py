@@ -11,6 +11,7 @@ from shelfspark.operators import search, suggest
 from shelfspark.operators.catalog import gen_suggests
 from shelfspark.plans.inputs import (
     BOOK_DOCS_SQL, FIELDS, book_docs, book_index, case_of, sql_case_of, table)
+from shelfspark.session import spread
 
 ALL_FIELDS = ("title", "tag", "description")
 TITLE = ("title",)
@@ -19,7 +20,7 @@ TITLE = ("title",)
 def _tokens(analyzer: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         tokens = analysis.analyze(F.col("text"), analyzer)
-        return table(spark, sf, "documents").select(
+        return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
             "doc_id", F.size(tokens).cast("bigint").alias("n_tokens"),
             F.array_join(tokens, " ").alias("tokens"))
     query.__doc__ = f"Tokens of every document by the {analyzer} analyzer."
@@ -28,7 +29,8 @@ def _tokens(analyzer: str):
 
 def filter_tokens(spark: SparkSession, sf: str) -> DataFrame:
     words = analysis.suggestion_words(analysis.coarse_tokens(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(words, " ").alias("words"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.array_join(words, " ").alias("words"))
 
 
 def suggest_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,18 +45,22 @@ def gen_suggests_query(spark: SparkSession, sf: str) -> DataFrame:
     return suggest_docs(spark, sf).select("doc_id", F.array_join(shown, "|").alias("suggest"))
 
 
+def _doc_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return indexing.document_terms(spread(book_docs(spark, sf)), FIELDS)
+
+
 def index_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return indexing.build_postings(book_docs(spark, sf), FIELDS).select(
+    return indexing.build_postings(_doc_terms(spark, sf)).select(
         "field", "term", "doc_id", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
 
 
 def index_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return indexing.field_stats(book_docs(spark, sf), FIELDS).select(
+    return indexing.field_stats(_doc_terms(spark, sf)).select(
         "field", "n_docs", F.round("avg_dl", 6).alias("avg_dl"))
 
 
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return indexing.document_frequency(indexing.build_postings(book_docs(spark, sf), FIELDS))
+    return indexing.document_frequency(indexing.build_postings(_doc_terms(spark, sf)))
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,9 +89,12 @@ def search_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Short queries, one per document: the documents' own titles, top 3 each."""
+    """Short queries, one per document: the documents' own titles, top 3 each.
+
+    As many queries as documents, so the plain join is never taken.
+    """
     queries = book_docs(spark, sf).select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
-    hits = search.search(queries, book_index(spark, sf), ("title", "tag"), size=3)
+    hits = search.search(queries, book_index(spark, sf), ("title", "tag"), size=3, plain_pairs=0)
     return hits.select("query_id", "rank", "doc_id", "score")
 
 

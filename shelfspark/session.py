@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# a table of a few short columns with this many rows stays near 20 MB
+BROADCAST_ROWS = 200_000
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -73,3 +77,24 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, and marked for broadcast if it is small.
+
+    The rows are counted, not estimated; above the limit the join shuffles.
+    """
+    written = materialize(df)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores when its scan is too small to fill them.
+
+    For steps that cost much time per row. A scan with enough splits, as any
+    large table has, is left as it is; a stream is never repartitioned.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
