@@ -59,7 +59,7 @@ def _fold_dots(segments: Column) -> Column:
         .otherwise(F.concat(done, F.array(s))))
     ends_open = F.element_at(segments, -1).isin(".", "..")
     text = F.array_join(F.when(ends_open, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
-    return F.when(text == "", F.lit("/")).otherwise(text)
+    return F.when(text.startswith("/"), text).otherwise(F.concat(F.lit("/"), text))
 
 
 def resolve_link(base: Column, href: Column) -> Column:

@@ -15,7 +15,8 @@ from shelfspark.schemas import FieldSpec
 from shelfspark.session import spread
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-# a start tag of the key ends an open element of the listed names
+# a start tag of the key ends open elements of the listed names, up to a fence
+FENCES = frozenset(("table", "ul", "ol", "div", "article"))
 ENDS = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 STEP = re.compile(r"(>)|([a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[[\w-]+(?:=[^\]]*)?\]|:nth\(\d+\))*)")
 PART = re.compile(r"\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:=([^\]]*))?\]|:nth\((\d+)\)")
@@ -108,12 +109,15 @@ class _Cutter(HTMLParser):
                     self.hits[name][slot] = self.source[self.hits[name][slot]:at]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        for depth in range(len(self.path) - 1, 0, -1):
-            if self.path[depth].tag in ENDS.get(tag, ()):
-                self._pop_to(depth, self._here())
-                break
-            if self.path[depth].tag in ("table", "ul", "ol", "div", "article"):
-                break
+        if tag in ENDS:
+            ended, outer = None, FENCES | {"tr"} if tag in ("td", "th") else FENCES
+            for depth in range(len(self.path) - 1, 0, -1):
+                if self.path[depth].tag in ENDS[tag]:
+                    ended = depth
+                elif self.path[depth].tag in outer:
+                    break
+            if ended:
+                self._pop_to(ended, self._here())
         parent = self.path[-1]
         parent.children[tag] = nth = parent.children.get(tag, 0) + 1
         node = _Node(tag, dict(attrs), nth)
