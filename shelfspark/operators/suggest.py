@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.analysis import bind
+
 SIZE = 10
 MAX_INPUT = 50       # an input longer than this is cut when it is indexed
 FUZZY_FROM = 3       # shorter prefixes must match exactly
@@ -28,11 +30,17 @@ def completions(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spread over their prefixes; a word of very many documents costs each task
     only `size` rows.
     """
-    inputs = (docs.select("doc_id", "title", F.explode("suggest").alias("s"))
-              .select("doc_id", "title", "s.weight",
-                      F.explode(F.transform("s.input", lambda w: F.substring(w, 1, MAX_INPUT)))
-                      .alias("word"))
-              .groupBy("word", "doc_id", "title").agg(F.max("weight").alias("weight")))
+    entries = F.transform("suggest", lambda s: F.struct(
+        F.transform(s["input"], lambda w: F.substring(w, 1, MAX_INPUT)).alias("input"),
+        s["weight"].alias("weight")))
+    # the highest weight of each word is found inside the row, before any shuffle
+    weighted = bind(entries, lambda es: F.transform(
+        F.array_distinct(F.flatten(F.transform(es, lambda e: e["input"]))),
+        lambda word: F.struct(word.alias("word"), F.array_max(F.transform(
+            F.filter(es, lambda e: F.array_contains(e["input"], word)),
+            lambda e: e["weight"])).alias("weight"))))
+    inputs = docs.select("doc_id", "title", F.explode(weighted).alias("w")).select(
+        "doc_id", "title", "w.word", "w.weight")
     words = _top(inputs, ["word"], _by_weight(), size).drop("place")
     prefixes = (words.select(
         "doc_id", "title", "weight",

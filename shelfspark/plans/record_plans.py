@@ -252,8 +252,9 @@ def index_replace(spark: SparkSession, sf: str) -> DataFrame:
 def fanout_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per sink after the pages of a site went to index and table."""
     spec, root = SOURCES["ishare"], scratch_path(spark, "fanout")
-    records = site_records(spark, sf, spec.site).withColumnRenamed("page_id", "seq")
+    records = site_records(spark, sf, spec.site).withColumnRenamed("page_id", "seq").persist()
     tables.fan_out(records, to_catalog(records, spec.site, keep=("seq",)), spec, 0, root)
+    records.unpersist()
     counts = [tables.read_sink(spark, root, spec, sink).agg(F.count(F.lit(1)).alias("n"))
               .select(F.lit(sink).alias("sink"), "n") for sink in ("index", "table", "rejects")]
     return tables.union_all(counts)

@@ -89,7 +89,7 @@ def sized(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores when its scan is too small to fill them.
+    """`df` over all cores when its scan would leave half of them idle.
 
     For steps that cost much time per row. A scan with enough splits, as any
     large table has, is left as it is; a stream is never repartitioned.
@@ -97,4 +97,4 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
