@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.analysis import bind
+from shelfspark.session import sized
 
 SIZE = 10
 MAX_INPUT = 50       # an input longer than this is cut when it is indexed
@@ -96,8 +97,9 @@ def near_prefixes(typed: DataFrame, completed: DataFrame) -> DataFrame:
     known = completed.select("prefix").distinct()
     exact = texts.join(known, texts["text"] == known["prefix"]).select(
         "text", "prefix", F.lit(0).alias("distance"))
-    left = texts.filter(F.length("text") >= FUZZY_FROM).select(
-        "text", F.explode(_near_keys(F.col("text"))).alias("form"))
+    # while few texts were typed, the many forms of the prefixes are not shuffled
+    left = sized(texts.filter(F.length("text") >= FUZZY_FROM).select(
+        "text", F.explode(_near_keys(F.col("text"))).alias("form")))
     right = known.select("prefix", F.explode(_near_keys(F.col("prefix"))).alias("form"))
     close = (left.join(right, "form").select("text", "prefix").distinct()
              .withColumn("distance", typing_distance(F.col("text"), F.col("prefix")))
@@ -109,7 +111,7 @@ def suggest_fuzzy(queries: DataFrame, completed: DataFrame, size: int = SIZE) ->
     """(query_id, rank, doc_id, title, weight, distance).
 
     Heavier suggestions first, then closer ones, then by title; one row per
-    document.
+    document. `completed` is read twice, so it should be a written table.
     """
     typed = queries.select("query_id", F.lower("text").alias("text"))
     found = (near_prefixes(typed, completed).join(completed, "prefix")

@@ -11,7 +11,7 @@ from shelfspark.operators import search, suggest
 from shelfspark.operators.catalog import gen_suggests
 from shelfspark.plans.inputs import (
     BOOK_DOCS_SQL, FIELDS, book_docs, book_index, case_of, sql_case_of, table)
-from shelfspark.session import spread
+from shelfspark.session import materialize, spread
 
 ALL_FIELDS = ("title", "tag", "description")
 TITLE = ("title",)
@@ -138,7 +138,8 @@ def suggest_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suggest_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return suggest.suggest_fuzzy(_typos(spark, sf), suggest.completions(suggest_docs(spark, sf)))
+    completed = materialize(suggest.completions(suggest_docs(spark, sf)))
+    return suggest.suggest_fuzzy(_typos(spark, sf), completed)
 
 
 def suggest_json(spark: SparkSession, sf: str) -> DataFrame:

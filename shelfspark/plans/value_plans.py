@@ -109,7 +109,7 @@ def date_to_ms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ms_to_date(spark: SparkSession, sf: str) -> DataFrame:
-    ms = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    ms = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
     return table(spark, sf, "events").select(
         "event_id", times.ms_to_date(F.floor(ms / 1000)).alias("day"))
 
