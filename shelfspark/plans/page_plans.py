@@ -14,8 +14,9 @@ from shelfspark.schemas import SOURCES, FieldSpec
 DOMAINS = ("example.com", "spam-farm.example.org")
 HOPS = ("category", "subcategory", "list", "detail")
 ROUTES = tuple(rule for spec in SOURCES.values() for rule in spec.routes)
-DECODE = ("replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'),"
-          " '&amp;', '&')")
+# entities as a page reader takes them: a cut-off text may end without the semicolon
+DECODE = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&copy;?', '©', 'g'),"
+          " '&middot;?', '·', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')")
 
 
 def scan_pages(spark: SparkSession, sf: str) -> DataFrame:
