@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm import benchmark, mixing, simhash, tokens, toxicity
 from shelfspark.llm.common import table
-from shelfspark.llm.queries import MIX_LEVELS, MIX_WEIGHTS, TOKENIZER
+from shelfspark.llm.queries import MIX_WEIGHTS, TOKENIZER, mix_levels
 from shelfspark.session import scratch_path
 
 
@@ -30,7 +30,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, by weight; a document of a scarce source comes several times."""
-    return mixing.mixed_documents(docs, MIX_LEVELS, MIX_WEIGHTS, F.col("total"))
+    return mixing.mixed_documents(docs, mix_levels(), MIX_WEIGHTS, F.col("total"))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import benchmark, mixing, simhash, tokens, toxicity
@@ -12,16 +12,16 @@ from shelfspark.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
-# the tree of the mixture: a source's number names its domain
-SOURCE_NUMBER = F.regexp_extract("source", "[0-9]+$", 0).try_cast("int")
-MIX_LEVELS = {
-    "domain": F.when(SOURCE_NUMBER < 10, "web").when(SOURCE_NUMBER < 16, "books").otherwise("forums"),
-    "lang": F.col("lang"),
-    "source": F.col("source"),
-}
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "forums": 2}, "lang": {"en": 6, "de": 2, "fr": 2}}
 
 
+def mix_levels() -> dict[str, Column]:
+    """The tree of the mixture from the root down; a source's number names its domain."""
+    number = F.regexp_extract("source", "[0-9]+$", 0).try_cast("int")
+    domain = F.when(number < 10, "web").when(number < 16, "books").otherwise("forums")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 def op1_token_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of all documents, written as shards and read back."""
     out = scratch_path(spark, "token-shards")
@@ -31,10 +31,11 @@ def op1_token_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Copies of each document in a mixture as large as all documents, by domain, language and source."""
+    levels = mix_levels()
     docs = table(spark, sf, "documents").select(
-        "doc_id", *[column.alias(name) for name, column in MIX_LEVELS.items()],
+        "doc_id", *[column.alias(name) for name, column in levels.items()],
         mixing.word_count(F.coalesce("text", F.lit(""))).alias("n_tokens"))
-    return mixing.select_documents(docs, list(MIX_LEVELS), MIX_WEIGHTS, F.col("total"))
+    return mixing.select_documents(docs, list(levels), MIX_WEIGHTS, F.col("total"))
 
 
 OP3_SQL = r"""
