@@ -81,11 +81,13 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame],
+                        prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Components of all ids that share a bucket and pass `verified`, without all pairs of a bucket.
 
     members(bucket..., id): `bucket` is one column.  `verified` takes distinct pairs
-    (a, b) and returns those that are links.  First each member is compared with the
+    (a, b) and returns those that are links; `prepare` sees the ids (id) that may be
+    in a pair before that.  First each member is compared with the
     smallest id of its bucket, which joins most of a group of near copies.  Then only
     pairs in different components are left to compare; the members outside a
     bucket's largest component are met with the bucket's other components.  After that no
@@ -94,6 +96,8 @@ def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], Data
     """
     sizes = members.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(sizes.drop("n"), "bucket"), "members")
+    if prepare:
+        prepare(shared.select("id").distinct())
     stars = (shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
     first = written(verified(stars), "stars")
     roots = components(first)
