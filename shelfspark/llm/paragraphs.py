@@ -87,9 +87,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row_id, doc_id, idx, line): each line with LEAST_WORDS words; one row with nulls for a document without any."""
     lines = F.transform(F.split(text_or_empty(text_col), "\n"), lambda line, i: F.struct(i.alias("idx"), _words(line).alias("words")))
     long_enough = F.filter(lines, lambda s: F.size(s["words"]) >= LEAST_WORDS)
-    return (docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
-                        F.explode_outer(long_enough).alias("p"))
-            .select("row_id", "doc_id", "p.idx", "p.words"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
+                           long_enough.alias("lines"))
+    return numbered.select("row_id", "doc_id", F.explode_outer("lines").alias("p")).select("row_id", "doc_id", "p.idx", "p.words")
 
 
 def _hashes(words: Column) -> Column:
