@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import benchmark, mixing, simhash, tokens, toxicity
+from shelfspark.llm import benchmark, mixing, paragraphs, pii, quality, repeats, simhash, tokens, toxicity
 from shelfspark.llm.common import table
 from shelfspark.session import scratch_path
 
@@ -29,6 +29,11 @@ def op1_token_shards(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.read_documents(spark, out)
 
 
+def op2_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without the bytes of repeated 200-byte strings."""
+    return repeats.without_repeats(table(spark, sf, "documents"))
+
+
 def op3_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Copies of each document in a mixture as large as all documents, by domain, language and source."""
     levels = mix_levels()
@@ -85,6 +90,124 @@ FROM summed WHERE epochs + CASE WHEN start < rest THEN 1 ELSE 0 END > 0
 """
 
 
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.report(table(spark, sf, "documents")).drop("scores")
+
+
+def _spans_sql(kind: str, at: int, pattern: str, valid: str) -> str:
+    """(doc, kind, start_, end_, span, before, after) of a pattern's valid matches."""
+    return f"""
+  SELECT doc, {at} AS kind_no, '{kind}' AS kind, end_ - length(span) AS start_, end_, span, before, after FROM (
+    SELECT *, sum(length(gap) + length(span)) OVER (PARTITION BY doc ORDER BY i) AS end_ FROM (
+      SELECT doc, i, gaps[i] AS gap, spans[i] AS span, right(gaps[i], 40) AS before, left(gaps[i + 1], 40) AS after FROM (
+        SELECT doc, spans, gaps, unnest(range(1, len(spans) + 1)) AS i FROM (
+          SELECT doc, regexp_extract_all(text, '{pattern}') AS spans, regexp_split_to_array(text, '{pattern}') AS gaps FROM d))))
+  WHERE {valid}"""
+
+
+_LUHN_SQL = r"""length(replace(replace(span, ' ', ''), '-', '')) BETWEEN 13 AND 19 AND
+    list_sum(list_transform(range(length(replace(replace(span, ' ', ''), '-', ''))), lambda i:
+      CASE WHEN i % 2 = 1 THEN
+        CASE WHEN 2 * CAST(replace(replace(span, ' ', ''), '-', '')[-1 - i] AS INT) > 9
+             THEN 2 * CAST(replace(replace(span, ' ', ''), '-', '')[-1 - i] AS INT) - 9
+             ELSE 2 * CAST(replace(replace(span, ' ', ''), '-', '')[-1 - i] AS INT) END
+      ELSE CAST(replace(replace(span, ' ', ''), '-', '')[-1 - i] AS INT) END)) % 10 = 0"""
+_IBAN_LENGTH_SQL = "CASE left(span, 2) " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in pii.IBAN_LENGTHS.items()) + " END"
+_IBAN_SQL = rf"""length(replace(span, ' ', '')) = {_IBAN_LENGTH_SQL} AND
+    list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform(
+      string_split(substr(replace(span, ' ', ''), 5) || left(replace(span, ' ', ''), 4), ''),
+      lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
+      lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1"""
+_SCORE_SQL = r"""30 + CASE WHEN regexp_matches(before, '(?i)ssn|social security|tax id') OR
+      regexp_matches(after, '(?i)ssn|social security|tax id') THEN 20 ELSE 0 END
+    - CASE WHEN regexp_matches(before, '(?i)version|example|isbn|order') OR
+      regexp_matches(after, '(?i)version|example|isbn|order') THEN 30 ELSE 0 END >= 50"""
+_IBAN_SCORE_SQL = r"""90 + CASE WHEN regexp_matches(before, '(?i)iban|account|bank') OR
+      regexp_matches(after, '(?i)iban|account|bank') THEN 20 ELSE 0 END
+    - CASE WHEN regexp_matches(before, '(?i)version|example|isbn|order') OR
+      regexp_matches(after, '(?i)version|example|isbn|order') THEN 30 ELSE 0 END >= 50"""
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({_spans_sql("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")}
+  UNION ALL {_spans_sql("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+                        "list_bool_and(list_transform(string_split(span, '.'), lambda p: CAST(p AS HUGEINT) <= 255))")}
+  UNION ALL {_spans_sql("card", 2, r"[0-9](?:[ -]?[0-9])+", _LUHN_SQL)}
+  UNION ALL {_spans_sql("phone", 3, r"\+[0-9][ ().0-9-]+[0-9]",
+                        "length(regexp_replace(span, '[^0-9]', '', 'g')) BETWEEN 9 AND 15")}
+  UNION ALL {_spans_sql("iban", 4, pii.KINDS[4].pattern, _IBAN_SQL + " AND " + _IBAN_SCORE_SQL)}
+  UNION ALL {_spans_sql("ssn", 5, pii.KINDS[5].pattern, "NOT (regexp_matches(before, '[0-9-]$') OR "
+                        "regexp_matches(after, '^[0-9-]') OR regexp_matches(span, '^(?:000|666|9)')) AND " + _SCORE_SQL)}),
+g AS (SELECT doc, count(*) FILTER (WHERE kind_no = 0) AS n_email, count(*) FILTER (WHERE kind_no = 1) AS n_ip, count(*) FILTER (WHERE kind_no = 2) AS n_card,
+             count(*) FILTER (WHERE kind_no = 3) AS n_phone,
+             string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY kind_no, start_) FILTER (WHERE kind_no < 4) AS base,
+             string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY kind_no, start_) AS spans FROM s GROUP BY doc)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc)
+"""
+
+
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Base rules and divergence from the language for all documents."""
+    return quality.quality(table(spark, sf, "documents")).drop("char_distance", "word_distance")
+
+
+def _distance_sql(p: str, q: str) -> str:
+    return f"""sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda k: (
+      CASE WHEN {p}[k] > 0 THEN ({p}[k] / list_sum({p})) * log2(({p}[k] / list_sum({p}))
+        / (({p}[k] / list_sum({p}) + {q}[k] / list_sum({q})) / 2)) ELSE 0.0 END +
+      CASE WHEN {q}[k] > 0 THEN ({q}[k] / list_sum({q})) * log2(({q}[k] / list_sum({q}))
+        / (({p}[k] / list_sum({p}) + {q}[k] / list_sum({q})) / 2)) ELSE 0.0 END) / 2))))"""
+
+
+_CLASSES_SQL = ", ".join(f"length(text) - length(regexp_replace(text, '{c.replace(chr(39), chr(39) * 2)}', '', 'g'))"
+                         for c in quality.CHAR_CLASSES)
+_COMMON_SQL = " ".join("WHEN '{}' THEN [{}]".format(code, ", ".join(f"'{w}'" for w in words))
+                       for code, words in quality.COMMON_WORDS.items())
+OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS lines,
+             regexp_extract_all(lower(text), '\p{{L}}+') AS letters FROM d),
+spread AS (SELECT doc, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+grams AS (SELECT doc, i, word || ' ' || lead(word, 1) OVER v || ' ' || lead(word, 2) OVER v || ' ' || lead(word, 3) OVER v
+                 || ' ' || lead(word, 4) OVER v AS gram FROM spread WINDOW v AS (PARTITION BY doc ORDER BY i)),
+twice AS (SELECT doc, i FROM (SELECT doc, i, count(*) OVER (PARTITION BY doc, gram) AS n FROM grams WHERE gram IS NOT NULL) WHERE n > 1),
+repeated AS (SELECT doc, count(DISTINCT i + k) AS n_repeat_words FROM twice, unnest([0, 1, 2, 3, 4]) AS t(k) GROUP BY doc),
+base AS (
+  SELECT doc, doc_id, lang, len(words) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(words) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(words) AS base_failed, length(text) AS n_chars,
+         len(letters) AS n_letters, [{_CLASSES_SQL}] AS chars_, CASE lang {_COMMON_SQL} END AS listed, letters
+  FROM w LEFT JOIN repeated USING (doc)),
+counted AS (SELECT *, CASE WHEN listed IS NOT NULL THEN
+              list_transform(listed, lambda v: len(list_filter(letters, lambda x: x = v))) END AS common_ FROM base),
+h AS (SELECT * EXCLUDE (letters), list_append(chars_, n_chars - list_sum(chars_)) AS chars,
+             list_append(common_, n_letters - list_sum(common_)) AS commons FROM counted),
+ref AS (SELECT lang, list(s ORDER BY k) AS ref_chars FROM (
+          SELECT lang, k, sum(chars[k]) AS s FROM h, range(1, 8) AS r(k) WHERE NOT base_failed GROUP BY lang, k)
+        GROUP BY lang HAVING lang IN (SELECT lang FROM h WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 20)),
+ref2 AS (SELECT lang, list(s ORDER BY k) AS ref_commons FROM (
+          SELECT lang, k, sum(commons[k]) AS s FROM h, range(1, 24) AS r(k) WHERE NOT base_failed AND k <= len(commons) GROUP BY lang, k)
+        GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed
+       AND coalesce(CASE WHEN n_chars >= 200 AND ref_chars IS NOT NULL THEN {_distance_sql("chars", "ref_chars")} END <= 0.40, true)
+       AND coalesce(CASE WHEN n_letters >= 50 AND ref_chars IS NOT NULL THEN {_distance_sql("commons", "ref_commons")} END <= 0.60, true) AS kept
+FROM h LEFT JOIN ref USING (lang) LEFT JOIN ref2 USING (lang)
+"""
+
+
+def op7_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all documents that repeat an earlier one, word for word or nearly."""
+    return paragraphs.paragraph_report(table(spark, sf, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that cover at least half of a benchmark item."""
     return benchmark.contaminated_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -104,9 +227,13 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
+    "op2_repeats": op2_repeats,
     "op3_mixture": op3_mixture,
+    "op4_pii": op4_pii,
+    "op6_quality": op6_quality,
+    "op7_paragraphs": op7_paragraphs,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
-ORACLE = {"op3_mixture": OP3_SQL}
+ORACLE = {"op3_mixture": OP3_SQL, "op4_pii": OP4_SQL, "op6_quality": OP6_SQL}
