@@ -24,8 +24,8 @@ MOST_REPEATED_PERCENT = 20
 LEAST_CHARS = 200
 LEAST_LETTER_WORDS = 50
 LEAST_REFERENCE = 20
-CHAR_LIMIT = 0.40
-WORD_LIMIT = 0.60
+CHAR_LIMIT = 0.30
+WORD_LIMIT = 0.36
 
 # Character classes as patterns of single characters, in order; what none names is the last class.
 CHAR_CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[.,;:!?'\"()-]", "[#*$%&|<>]")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import benchmark, mixing, paragraphs, pii, quality, repeats, simhash, tokens, toxicity
+from shelfspark.llm import benchmark, chat, mixing, paragraphs, pii, quality, repeats, simhash, tokens, toxicity
 from shelfspark.llm.common import table
 from shelfspark.session import scratch_path
 
@@ -148,6 +148,11 @@ FROM d LEFT JOIN g USING (doc)
 """
 
 
+def op5_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations with legal roles, rendered piece by piece."""
+    return chat.repaired(table(spark, sf, "conversations"))
+
+
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Base rules and divergence from the language for all documents."""
     return quality.quality(table(spark, sf, "documents")).drop("char_distance", "word_distance")
@@ -197,8 +202,8 @@ ref2 AS (SELECT lang, list(s ORDER BY k) AS ref_commons FROM (
         GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed
-       AND coalesce(CASE WHEN n_chars >= 200 AND ref_chars IS NOT NULL THEN {_distance_sql("chars", "ref_chars")} END <= 0.40, true)
-       AND coalesce(CASE WHEN n_letters >= 50 AND ref_chars IS NOT NULL THEN {_distance_sql("commons", "ref_commons")} END <= 0.60, true) AS kept
+       AND coalesce(CASE WHEN n_chars >= 200 AND ref_chars IS NOT NULL THEN {_distance_sql("chars", "ref_chars")} END <= {quality.CHAR_LIMIT}, true)
+       AND coalesce(CASE WHEN n_letters >= 50 AND ref_chars IS NOT NULL THEN {_distance_sql("commons", "ref_commons")} END <= {quality.WORD_LIMIT}, true) AS kept
 FROM h LEFT JOIN ref USING (lang) LEFT JOIN ref2 USING (lang)
 """
 
@@ -230,6 +235,7 @@ QUERIES = {
     "op2_repeats": op2_repeats,
     "op3_mixture": op3_mixture,
     "op4_pii": op4_pii,
+    "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_paragraphs": op7_paragraphs,
     "op8_decontamination": op8_decontamination,
