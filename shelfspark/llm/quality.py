@@ -114,7 +114,8 @@ def distance(p: Column, q: Column) -> Column:
         side = lambda x: F.when(x > 0, x * F.log2(x / half)).otherwise(F.lit(0.0))
         return (side(a) + side(b)) / 2
     parts = F.zip_with(shares(p), shares(q), term)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
+    root = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
+    return F.when((total(p) > 0) & (total(q) > 0), root)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
