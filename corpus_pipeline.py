@@ -36,7 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of the mixture; their documents with their places."""
     out = scratch_path(spark, "corpus-shards")
-    tokens.write_shards(docs, public_tokenizers.path(TOKENIZER), out)
+    # the stages share workers, so this one keeps fewer words
+    tokens.write_shards(docs, public_tokenizers.path(TOKENIZER), out, cached_words=100_000)
     return tokens.read_documents(spark, out)
 
 

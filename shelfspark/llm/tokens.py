@@ -19,6 +19,7 @@ with its partition; a longer document is a shard of its own.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,13 @@ SHARD_IDS = 1 << 20
 END_ID = 0
 # words whose ids a task remembers
 CACHED_WORDS = 400_000
+# new words that go through the tokenizer in one call
+CALL_WORDS = 200
+# Fixed value: the byte-level tokenizer's pattern; its letters, numbers and spaces up to U+024F.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\xa0"
+_PIECE = re.compile(f" ?[{_L}]+|'(?:[sdmt]|ll|ve|re)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_ODD = re.compile("[^\t\n\r\x20-\x7e\xa0-\u024f]|<\\|")
+_PART = re.compile(r" ?[^ ]+(?: (?![A-Za-z])[^ ]*)*")
 FORMAT = ("part int, piece int, n_docs long, n_ids long, ids binary, width int, low_bits int, "
           "low binary, high binary, doc_ids binary, no_id binary")
 
@@ -83,17 +91,18 @@ class EliasFano:
 class WordEncoder:
     """Ids of texts by a byte-level tokenizer, with the ids of words kept between texts.
 
-    The tokenizer's own pattern starts a new piece at every single space before an ASCII letter, and
-    merges never cross pieces.  So a text is cut there, known parts are looked up, and
-    the rest goes through the tokenizer in one call.
+    The tokenizer first cuts a text into pieces by a pattern, and its merges never cross them.  So a text
+    is cut here where pieces end, known parts are looked up, and the rest goes
+    through the tokenizer, many parts in one call.
     """
 
-    def __init__(self, path: str, width: int):
+    def __init__(self, path: str, width: int, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
         self.known: dict[str, bytes] = {}
+        self.cached_words = cached_words
         space = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, at in self.tokenizer.get_vocab().items():
             space[at] = token.startswith("Ġ")
@@ -103,41 +112,57 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self._parts(t) for t in texts]
-        known = self.known
-        missing = list({p for parts in cut for p in parts if p not in known})
-        fresh = self._words(missing)
+        get = self.known.get
+        found = []
+        missing = set()
+        for text in texts:
+            parts = self._parts(text)
+            ids = list(map(get, parts))
+            holes = [at for at, known in enumerate(ids) if known is None]
+            missing.update([parts[at] for at in holes])
+            found.append((ids, [(at, parts[at]) for at in holes]))
+        fresh = self._words(list(missing))
         out = []
-        for parts in cut:
-            out.append(b"".join([known[p] if p in known else fresh[p] for p in parts]))
-        room = CACHED_WORDS - len(known)
+        for ids, holes in found:
+            for at, part in holes:
+                ids[at] = fresh[part]
+            out.append(b"".join(ids))
+        room = self.cached_words - len(self.known)
+        # long words seldom come again
         for part, ids in fresh.items():
-            if room <= 0:
-                break
-            # long parts seldom come again
-            if len(part) <= 40:
-                known[part] = ids
+            if room > 0 and len(part) <= 40:
+                self.known[part] = ids
                 room -= 1
         return out
 
     @staticmethod
     def _parts(text: str) -> list[str]:
-        pieces = text.split(" ")
-        parts = [pieces[0]] if pieces[0] else []
-        for piece in pieces[1:]:
-            if piece and piece[0].isascii() and piece[0].isalpha() or not parts:
-                parts.append(" " + piece)
-            else:
-                parts[-1] += " " + piece
-        return parts
+        """The pieces of the tokenizer's pattern, or larger parts that end where pieces end.
+
+        Texts of other scripts, with control characters or with special tokens are cut only before each single space
+        that an ASCII letter follows: which characters are letters there depends on the Unicode version.
+        """
+        if not _ODD.search(text):
+            return _PIECE.findall(text)
+        parts = _PART.findall(text)
+        if sum(map(len, parts)) == len(text):
+            return parts
+        # two spaces or more at its beginning
+        lead = len(text) - len(text.lstrip(" "))
+        if lead == len(text):
+            return [text]
+        rest = WordEncoder._parts(text[lead:])
+        if text[lead].isascii() and text[lead].isalpha():
+            return [text[:lead - 1], " " + rest[0], *rest[1:]]
+        return [text[:lead] + rest[0], *rest[1:]]
 
     def _words(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts; those of the form ' word' are encoded as one text and told apart at their space."""
-        plain = [p for p in parts if p[0] == " " and len(p) > 1 and p[1].isascii() and p[1].isalpha() and " " not in p[1:]]
+        plain = [p for p in parts if p[0] == " " and len(p) > 1 and p[1].isalpha() and " " not in p[1:]]
         single = set(plain)
         fresh = {p: self._encode(p) for p in parts if p not in single}
-        for first in range(0, len(plain), 2000):
-            some = plain[first:first + 2000]
+        for first in range(0, len(plain), CALL_WORDS):
+            some = plain[first:first + CALL_WORDS]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
             at = np.flatnonzero(self.starts_word[ids])
             if len(at) != len(some):  # a special token's text inside a word
@@ -150,29 +175,20 @@ class WordEncoder:
         return fresh
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids, width): the ids of each whole text and the end id; a null text has the end id alone."""
-    width = 2 if _vocabulary(path) <= 1 << 16 else 4
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, width)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
-            ids = [made + end for made in encoder([t.as_py() or "" for t in batch.column(1)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, ids binary").withColumn("width", F.lit(width)))
+def _encoded(encoder: WordEncoder, texts: pa.Array, rows: int = 1000) -> Iterator[bytes]:
+    """Ids of each text, some texts at a time."""
+    for first in range(0, len(texts), rows):
+        yield from encoder(texts.slice(first, rows).to_pylist())
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+_encoders: dict[tuple[str, int, int], WordEncoder] = {}
 
 
-def _encoder(path: str, width: int) -> WordEncoder:
+def _encoder(*of: str | int) -> WordEncoder:
     """One encoder per worker process; workers are used for many tasks."""
-    if (path, width) not in _encoders:
-        _encoders[path, width] = WordEncoder(path, width)
-    return _encoders[path, width]
+    if of not in _encoders:
+        _encoders[of] = WordEncoder(*of)
+    return _encoders[of]
 
 
 def _vocabulary(path: str) -> int:
@@ -181,26 +197,32 @@ def _vocabulary(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def write_shards(docs: DataFrame, path: str, out: str, end_id: int = END_ID, parts: int | None = None) -> None:
+def write_shards(docs: DataFrame, path: str, out: str, end_id: int = END_ID, parts: int | None = None,
+                 cached_words: int = CACHED_WORDS) -> None:
     """Encode `docs(doc_id, text)` and write shards in ascending doc_id order to `out`.
 
-    Rows without a doc_id come first; rows with one doc_id are ordered by their ids' bytes.  The
-    texts are encoded where they are read; only ids are shuffled.
+    Rows without a doc_id come first; rows with one doc_id are ordered by a hash of their texts, then by
+    the texts.  The texts are range-partitioned before they are encoded: Spark samples what it
+    partitions, and would encode everything twice the other way round.  A worker keeps the ids of
+    `cached_words` words, about 250 bytes each.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = encode_documents(docs, path, end_id).repartitionByRange(parts, "doc_id", F.xxhash64("ids")) \
-        .sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
+    width = 2 if _vocabulary(path) <= 1 << 16 else 4
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+               .repartitionByRange(parts, "doc_id", F.xxhash64("text"))
+               .sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, piece = TaskContext.get().partitionId(), 0
+        encoder = _encoder(path, width, cached_words)
+        end = np.array([end_id], encoder.dtype).tobytes()
         held: list[tuple[int | None, bytes]] = []
         size = 0
         for batch in batches:
-            width = batch.column(2)[0].as_py() if batch.num_rows else 2
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = ids.as_buffer().to_pybytes()
+            for doc, made in zip(batch.column(0).to_pylist(), _encoded(encoder, batch.column(1))):
+                data = made + end
                 if held and size + len(data) // width > SHARD_IDS:
                     yield _shard(part, piece, held, width)
                     held, size, piece = [], 0, piece + 1
@@ -209,7 +231,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = END_ID, par
         if held:
             yield _shard(part, piece, held, width)
 
-    encoded.mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(out)
+    ordered.mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(out)
 
 
 def _shard(part: int, piece: int, held: list[tuple[int | None, bytes]], width: int) -> pa.RecordBatch:

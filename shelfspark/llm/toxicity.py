@@ -232,7 +232,10 @@ def without_toxic(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            found = [features_of(distinct_words(t.as_py()), model.features, cache) for t in batch.column(place)]
-            yield batch.filter(pa.array(model.scores(found) < 0.5))
+            # a few rows at a time, as kept texts are copied
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                found = [features_of(distinct_words(t.as_py()), model.features, cache) for t in part.column(place)]
+                yield part.filter(pa.array(model.scores(found) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

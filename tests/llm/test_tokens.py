@@ -33,6 +33,10 @@ def test_words_are_encoded_as_in_their_text():
     bits = ["a", "Word", " ", "  ", "\n", "\t", "é", "ß", "1", "99", ".", "'s", "'", "<|endoftext|>", "-", "日本", " ", " ", "x", "The", "\x1c", "\x85"]
     texts = ["", " ", "  a", "a  b", " \n b", "a\n b\n\nc", "don't 's t's", "a <|endoftext|> b<|endoftext|>c", " lead", "trail "]
     texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    latin = [chr(c) for c in range(0x250)] + [" "] * 150 + list("aB1'") * 20
+    texts += ["".join(rng.choice(latin) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    # without the characters that make a text odd, so that every class of letter is cut
+    texts += ["".join(c for c in t if c in "\t\n\r" or ord(c) >= 0x20 and not 0x7f <= ord(c) < 0xa0) for t in texts[-4000:]]
     for first in range(0, len(texts), 100):
         some = texts[first:first + 100]
         made = [np.frombuffer(b, "<u2").tolist() for b in encoder(some)]
