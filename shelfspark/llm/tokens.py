@@ -112,27 +112,21 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        get = self.known.get
-        found = []
-        missing = set()
-        for text in texts:
-            parts = self._parts(text)
-            ids = list(map(get, parts))
-            holes = [at for at, known in enumerate(ids) if known is None]
-            missing.update([parts[at] for at in holes])
-            found.append((ids, [(at, parts[at]) for at in holes]))
-        fresh = self._words(list(missing))
-        out = []
-        for ids, holes in found:
-            for at, part in holes:
-                ids[at] = fresh[part]
-            out.append(b"".join(ids))
-        room = self.cached_words - len(self.known)
-        # long words seldom come again
-        for part, ids in fresh.items():
-            if room > 0 and len(part) <= 40:
-                self.known[part] = ids
+        known = self.known
+        cut = [self._parts(t) for t in texts]
+        pieces = set()
+        for parts in cut:
+            pieces.update(parts)
+        fresh = self._words(list(pieces.difference(known)))
+        room = self.cached_words - len(known)
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        # of the new pieces those that fit stay; long ones seldom come again
+        for piece in fresh:
+            if room > 0 and len(piece) <= 40:
                 room -= 1
+            else:
+                del known[piece]
         return out
 
     @staticmethod
