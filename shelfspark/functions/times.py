@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 MINUTE = 60_000
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
+# years 1 to 9999
+FIRST_DAY = -719_162 * DAY
+LAST_DAY = 2_932_897 * DAY - 1
 
 # Fixed patterns of the upload times shown on the list pages.
 HOURS_AGO = r"^([0-9]+)小时"
@@ -38,7 +41,8 @@ def date_to_ms(value: Column) -> Column:
 
 
 def ms_to_day(ms: Column) -> Column:
-    return F.date_from_unix_date(F.floor(ms / F.lit(float(DAY))).cast("int"))
+    inside = ms.between(FIRST_DAY, LAST_DAY)
+    return F.date_from_unix_date(F.floor(F.when(inside, ms) / F.lit(float(DAY))).cast("int"))
 
 
 def ms_to_date(ms: Column) -> Column:
@@ -52,16 +56,17 @@ def upload_time_ms(value: Column, now: Column | int) -> Column:
     midnight = now - F.pmod(now, F.lit(DAY).cast("bigint"))
 
     def clock(pattern: str, days_back: int) -> Column:
-        return (midnight - F.lit(days_back * DAY).cast("bigint")
-                + _number(value, pattern, 1) * F.lit(HOUR).cast("bigint")
-                + _number(value, pattern, 2) * F.lit(MINUTE).cast("bigint"))
+        parts = [F.try_multiply(_number(value, pattern, group), F.lit(unit).cast("bigint"))
+                 for group, unit in ((1, HOUR), (2, MINUTE))]
+        return F.try_add(F.try_add(midnight - F.lit(days_back * DAY).cast("bigint"), parts[0]), parts[1])
 
     read = (F.when(value.rlike(HOURS_AGO), _ago(now, _number(value, HOURS_AGO), HOUR))
             .when(value.rlike(YESTERDAY_AT), clock(YESTERDAY_AT, 1))
             .when(value.rlike(DAY_BEFORE_AT), clock(DAY_BEFORE_AT, 2))
             .when(value.rlike(DAYS_AGO), _ago(now, _number(value, DAYS_AGO), DAY))
             .when(value.rlike(ISO_DATE), date_to_ms(value)))
-    return F.coalesce(read, now)
+    # a moment outside the calendar is as good as unreadable
+    return F.coalesce(F.when(read.between(FIRST_DAY, LAST_DAY), read), now)
 
 
 def upload_time_cn(value: Column, now: Column | int) -> Column:

@@ -47,7 +47,7 @@ def to_catalog(records: DataFrame, site: str, keep: Sequence[str] = ()) -> DataF
         "suggest": gen_suggests([(F.col(name), weight) for name, weight in spec.suggest_fields]),
     }
     return records.select(*keep, *[
-        columns.get(f.name, source(f.name)).cast(f.dataType).alias(f.name) for f in CATALOG])
+        columns.get(f.name, source(f.name)).try_cast(f.dataType).alias(f.name) for f in CATALOG])
 
 
 def catalog_union(tables: dict[str, DataFrame], keep: Sequence[str] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.schemas import FieldSpec
-from shelfspark.session import spread
+from shelfspark.schemas import FieldSpec, SourceSpec
+from shelfspark.session import ship_package, spread
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # a start tag of the key ends open elements of the listed names, up to a fence
@@ -22,6 +23,10 @@ STEP = re.compile(r"(>)|([a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[[\w-]+(?:=[^\]]*)?\]|:
 PART = re.compile(r"\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:=([^\]]*))?\]|:nth\((\d+)\)")
 
 
+HREF = r"""(?i)(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
 class _Step:
     """One step of a selector: what the element must be, and its parent link."""
 
@@ -67,15 +72,15 @@ def parse_selector(selector: str) -> list[_Step]:
 
 
 def _selected(path: list[_Node], steps: list[_Step]) -> bool:
-    """Does the innermost element of `path` match the selector?"""
+    """Does the innermost element of `path` match the selector? The first of the path is the page."""
     def back(at: int, step: int) -> bool:
         if not steps[step].fits(path[at]):
             return False
         if step == 0:
             return True
         if steps[step].child:
-            return at > 0 and back(at - 1, step - 1)
-        return any(back(up, step - 1) for up in range(at - 1, -1, -1))
+            return at > 1 and back(at - 1, step - 1)
+        return any(back(up, step - 1) for up in range(at - 1, 0, -1))
     return back(len(path) - 1, len(steps) - 1)
 
 
@@ -92,6 +97,9 @@ class _Cutter(HTMLParser):
         self.lines = [0] + [m.end() for m in re.finditer("\n", html)]
         self.hits: dict[str, list] = {name: [] for name, _, _ in self.fields}
         self.path = [_Node("", {}, 1)]
+        # open elements by tag, and the open captures of whole texts, innermost last
+        self.open: Counter[str] = Counter()
+        self.texts: list[tuple[str, int]] = []
         self.feed(html)
         self.close()
         self._pop_to(1, len(html))
@@ -104,12 +112,16 @@ class _Cutter(HTMLParser):
 
     def _pop_to(self, depth: int, at: int) -> None:
         while len(self.path) > depth:
-            for kind, name, slot in self.path.pop().captures:
+            node = self.path.pop()
+            self.open[node.tag] -= 1
+            for kind, name, slot in node.captures:
                 if kind == "html":
                     self.hits[name][slot] = self.source[self.hits[name][slot]:at]
+                elif kind == "all_text":
+                    self.texts.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ENDS:
+        if tag in ENDS and any(self.open[t] for t in ENDS[tag]):
             ended, outer = None, FENCES | {"tr"} if tag in ("td", "th") else FENCES
             for depth in range(len(self.path) - 1, 0, -1):
                 if self.path[depth].tag in ENDS[tag]:
@@ -122,8 +134,9 @@ class _Cutter(HTMLParser):
         parent.children[tag] = nth = parent.children.get(tag, 0) + 1
         node = _Node(tag, dict(attrs), nth)
         self.path.append(node)
+        self.open[tag] += 1
         for name, take, steps in self.fields:
-            if (not steps[-1].tag or steps[-1].tag == tag) and _selected(self.path[1:], steps):
+            if (not steps[-1].tag or steps[-1].tag == tag) and _selected(self.path, steps):
                 if take.startswith("attr:"):
                     value = node.attrs.get(take[5:])
                     if value is not None:
@@ -131,6 +144,7 @@ class _Cutter(HTMLParser):
                 else:
                     node.captures.append((take, name, len(self.hits[name])))
                     if take == "all_text":
+                        self.texts.append((name, len(self.hits[name])))
                         self.hits[name].append([])
                     elif take == "html":
                         self.hits[name].append(self._here())
@@ -143,6 +157,8 @@ class _Cutter(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for depth in range(len(self.path) - 1, 0, -1):
             if self.path[depth].tag == tag:
                 self._pop_to(depth + 1, self._here())
@@ -154,10 +170,8 @@ class _Cutter(HTMLParser):
         for kind, name, _ in self.path[-1].captures:
             if kind == "text":
                 self.hits[name].append(data)
-        for node in self.path:
-            for kind, name, slot in node.captures:
-                if kind == "all_text":
-                    self.hits[name][slot].append(data)
+        for name, slot in self.texts:
+            self.hits[name][slot].append(data)
 
 
 def extract_fields(pages: DataFrame, fields: Sequence[FieldSpec], html: str = "html",
@@ -168,6 +182,7 @@ def extract_fields(pages: DataFrame, fields: Sequence[FieldSpec], html: str = "h
     gets only the kept columns and the markup, in Arrow batches, and goes
     through each page once for all fields.
     """
+    ship_package(pages.sparkSession)
     plan = [(f.name, f.take, f.selector) for f in fields]
     keep = list(keep)
     schema = T.StructType(
@@ -183,13 +198,20 @@ def extract_fields(pages: DataFrame, fields: Sequence[FieldSpec], html: str = "h
                 out[name] = [hits[name] for hits in found]
             yield out
 
-    hits = spread(pages.select(*keep, html)).mapInPandas(cut, schema)
+    hits = spread(pages.select(*dict.fromkeys([*keep, html]))).mapInPandas(cut, schema)
     for f in fields:
         if f.column_fn is not None:
             hits = hits.withColumn(f.name, f.column_fn(F.col(f.name)))
     return hits
 
 
+def site_fields(pages: DataFrame, spec: SourceSpec, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
+    """The fields of a site's pages; pages with one of its error markers are left out before they are parsed."""
+    for marker in spec.lacking:
+        pages = pages.filter(F.coalesce(lacking(marker), F.lit(True)))
+    return extract_fields(pages, spec.fields, keep=keep)
+
+
 def tag_text(html: Column, tag: str) -> Column:
     """Hits of a single tag without inner markup: the native form of a field."""
     return F.regexp_extract_all(html, F.lit(f"<{tag}(?:\\s[^>]*)?>([^<]*)</{tag}>"), F.lit(1))
@@ -204,14 +226,15 @@ def table_rows(rows: DataFrame, row_html: str, cell_tag: str, keep: Sequence[str
                header_rows: int = 1) -> DataFrame:
     """Table markup -> one row per table row with its cells as an array.
 
-    `row_html` holds the markup of the page's rows, as cut with take `html`.
+    `row_html` holds the markup of the page's rows, as cut with take `html`. Cells are the direct
+    text nodes of the row's `cell_tag` elements: a cell with inner elements gives one for the
+    text before each of them and after the last, and an empty cell none.
     """
     body = F.slice(F.col(row_html), header_rows + 1,
                    F.greatest(F.size(row_html) - header_rows, F.lit(0)))
-    return (rows.select(*keep, F.posexplode(body).alias("row_no", "row"))
-            .select(*keep, "row_no", "row",
-                    F.regexp_extract_all("row", F.lit(f"<{cell_tag}(?:\\s[^>]*)?>([^<]+)"), F.lit(1))
-                    .alias("cells")))
+    exploded = rows.select(*keep, F.posexplode(body).alias("row_no", "row"))
+    return (extract_fields(exploded, [FieldSpec("cells", cell_tag)], html="row", keep=[*keep, "row_no", "row"])
+            .select(*keep, "row_no", "row", "cells"))
 
 
 def row_attribute(row: Column, name: str) -> Column:
@@ -219,9 +242,17 @@ def row_attribute(row: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(row, f'\\s{name}="([^"]*)"', 1), F.lit(""))
 
 
+def decode_entities(value: Column) -> Column:
+    """The entities that addresses hold; `&amp;` last, so nothing is decoded twice."""
+    for name, text in ENTITIES:
+        value = F.replace(value, F.lit(name), F.lit(text))
+    return value
+
+
 def page_links(html: Column) -> Column:
-    """Every href on a page."""
-    return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
+    """Every href on a page: in double, single or no quotes, in any case; not the end of another attribute's name."""
+    quoted = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.transform(quoted, lambda h: decode_entities(F.regexp_replace(h, "^[\"']|[\"']$", "")))
 
 
 def extract_links(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:

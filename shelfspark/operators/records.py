@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from shelfspark.functions import text, times, urls
 from shelfspark.schemas import SOURCES
 
-# Fixed page markers and labels.
-NOT_FOUND = "未找到"
+# Fixed labels.
 DOWNLOAD_LABEL = "下载地址"
-BANNER = "education-banner"
 AUTHOR_LABEL = "作者："
 CATEGORY_LABEL = "分类："
 SECONDS = "秒"
@@ -37,12 +35,15 @@ def _select(hits: DataFrame, site: str, columns: dict[str, Column], keep: tuple[
 
 
 def build_ishare(hits: DataFrame, now: Column | int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Shared-documents site. A missing upload time becomes the table default."""
+    """Shared-documents site. A missing upload time becomes the table default.
+
+    Counters are the page's text; the table's rules read them, and name those that are no number.
+    """
     columns = _common("ishare", now) | {
         "title": _first("title"),
         "upload_people": _first("upload_people"),
         "score": F.lit(0).cast("decimal(2,1)"),
-        **{c: text.to_count(_first(c))
+        **{c: _first(c)
            for c in ("load_num", "read_num", "comment_num", "collect_num")},
         "upload_time": F.coalesce(times.date_to_ms(_first("upload_time")),
                                   F.lit(0).cast("bigint")),
@@ -55,7 +56,7 @@ def build_pipipan(hits: DataFrame, now: Column | int, keep: tuple[str, ...] = ()
     """Cloud-drive site; an empty description is stored as null."""
     columns = _common("pipipan", now) | {
         "title": _first("title"),
-        "read_num": text.to_count(_first("read_num")),
+        "read_num": _first("read_num"),
         "upload_time": times.upload_time_ms(F.get("upload_time", F.lit(0)), now),
         "type": text.take_first(text.map_hits(F.col("type"), text.ext_unknown)),
         "size": text.take_first(text.map_hits(F.col("size"), text.clean_size)),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.analysis import bind
-from shelfspark.session import sized
+from shelfspark.session import materialize, sized
 
 SIZE = 10
-MAX_INPUT = 50       # an input longer than this is cut when it is indexed
 FUZZY_FROM = 3       # shorter prefixes must match exactly
 FIXED_PREFIX = 1     # leading characters that must match exactly
 
@@ -23,49 +24,70 @@ def _by_weight() -> list[Column]:
     return [F.desc("weight"), F.asc("title"), F.asc("doc_id")]
 
 
-def completions(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(prefix, doc_id, title, weight): the best `size` documents per prefix.
+class Completions(NamedTuple):
+    """The best `size` documents of each word: words(word, doc_id, title, weight)."""
+
+    words: DataFrame
+    size: int
+
+
+def completions(docs: DataFrame, size: int = SIZE) -> Completions:
+    """What can be suggested from `docs(doc_id, title, suggest)`, up to `size` documents a text.
 
-    `docs(doc_id, title, suggest)`. The best documents of a prefix are among
-    the best of its words, so words are cut to `size` rows before they are
-    spread over their prefixes; a word of very many documents costs each task
-    only `size` rows.
+    The best documents of a prefix are among the best of its words, so words are cut to `size`
+    rows; a word of very many documents costs each task only `size` rows. Words are kept whole. Their
+    prefixes are made when texts are typed, of the lengths that were typed.
     """
-    entries = F.transform("suggest", lambda s: F.struct(
-        F.transform(s["input"], lambda w: F.substring(w, 1, MAX_INPUT)).alias("input"),
-        s["weight"].alias("weight")))
     # the highest weight of each word is found inside the row, before any shuffle
-    weighted = bind(entries, lambda es: F.transform(
+    weighted = bind(F.col("suggest"), lambda es: F.transform(
         F.array_distinct(F.flatten(F.transform(es, lambda e: e["input"]))),
         lambda word: F.struct(word.alias("word"), F.array_max(F.transform(
             F.filter(es, lambda e: F.array_contains(e["input"], word)),
             lambda e: e["weight"])).alias("weight"))))
     inputs = docs.select("doc_id", "title", F.explode(weighted).alias("w")).select(
         "doc_id", "title", "w.word", "w.weight")
-    words = _top(inputs, ["word"], _by_weight(), size).drop("place")
-    prefixes = (words.select(
-        "doc_id", "title", "weight",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("word")),
-                              lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
-        .groupBy("prefix", "doc_id", "title").agg(F.max("weight").alias("weight")))
-    return _top(prefixes, ["prefix"], _by_weight(), size).drop("place")
+    return Completions(_top(inputs, ["word"], _by_weight(), size).drop("place"), size)
+
+
+def _asked_size(completed: Completions, size: int | None) -> int:
+    if size is not None and size > completed.size:
+        raise ValueError(f"{size} suggestions asked, the completions keep {completed.size}")
+    return size or completed.size
+
+
+def _lengths(texts: DataFrame, around: int = 0) -> list[int]:
+    """Distinct lengths of the texts, and those up to `around` beside them; a few numbers for any number of texts."""
+    typed = {r[0] for r in texts.select(F.length("text")).distinct().collect() if r[0]}
+    return sorted({n + d for n in typed for d in range(-around, around + 1) if n + d > 0})
 
 
-def suggest_prefix(queries: DataFrame, completed: DataFrame, size: int = SIZE) -> DataFrame:
+def _prefixes(completed: Completions, lengths: list[int]) -> DataFrame:
+    """(prefix, doc_id, title, weight): prefixes of the asked lengths, with the documents of their words."""
+    asked = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("word"))
+    return (completed.words.select("doc_id", "title", "weight", F.explode(
+                F.transform(asked, lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
+            .groupBy("prefix", "doc_id", "title").agg(F.max("weight").alias("weight")))
+
+
+def suggest_prefix(queries: DataFrame, completed: Completions, size: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, title, weight) for `queries(query_id, text)`."""
-    typed = queries.select("query_id", F.lower("text").alias("prefix"))
-    return (_top(typed.join(completed, "prefix"), ["query_id"], _by_weight(), size, "rank")
-            .select("query_id", "rank", "doc_id", "title", "weight"))
+    size = _asked_size(completed, size)
+    typed = queries.select("query_id", F.lower("text").alias("text"))
+    texts = typed.select("text").distinct()
+    found = texts.join(_prefixes(completed, _lengths(texts)), F.col("text") == F.col("prefix"))
+    # rank once per distinct text, then hand the list to every query that typed it
+    ranked = _top(found.drop("prefix"), ["text"], _by_weight(), size, "rank")
+    return typed.join(ranked, "text").select("query_id", "rank", "doc_id", "title", "weight")
 
 
 def _near_keys(value: Column) -> Column:
-    """The text itself and every form with one later character left out."""
+    """Hashes of the text itself and of every form with one later character left out."""
     # two texts one edit or one swap apart share such a form
     cuts = F.when(F.length(value) > FIXED_PREFIX, F.transform(
         F.sequence(F.lit(FIXED_PREFIX + 1), F.length(value)),
-        lambda i: F.concat(F.substring(value, F.lit(1), i - 1),
-                           F.substring(value, i + 1, F.length(value)))))
-    return F.array_distinct(F.concat(F.array(value), F.coalesce(cuts, F.array().cast("array<string>"))))
+        lambda i: F.xxhash64(F.concat(F.substring(value, F.lit(1), i - 1),
+                                      F.substring(value, i + 1, F.length(value))))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(value)), F.coalesce(cuts, F.array().cast("array<bigint>"))))
 
 
 def _swapped(a: Column, b: Column) -> Column:
@@ -86,15 +108,13 @@ def typing_distance(a: Column, b: Column) -> Column:
             .when(same_start & ((F.levenshtein(a, b, 1) == 1) | _swapped(a, b)), F.lit(1)))
 
 
-def near_prefixes(typed: DataFrame, completed: DataFrame) -> DataFrame:
-    """(text, prefix, distance) for distinct texts and the known prefixes.
+def near_prefixes(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, prefix, distance) for distinct `texts(text)` and distinct `known(prefix)`.
 
     Both sides are spread over forms with one character left out and joined on
-    the form: distinct texts and prefixes give each form few rows, and no pair
+    the forms' hashes: distinct texts and prefixes give each form few rows, and no pair
     is looked at that is not close already.
     """
-    texts = typed.select("text").distinct()
-    known = completed.select("prefix").distinct()
     exact = texts.join(known, texts["text"] == known["prefix"]).select(
         "text", "prefix", F.lit(0).alias("distance"))
     # while few texts were typed, the many forms of the prefixes are not shuffled
@@ -107,20 +127,24 @@ def near_prefixes(typed: DataFrame, completed: DataFrame) -> DataFrame:
     return exact.unionByName(close)
 
 
-def suggest_fuzzy(queries: DataFrame, completed: DataFrame, size: int = SIZE) -> DataFrame:
+def suggest_fuzzy(queries: DataFrame, completed: Completions, size: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, title, weight, distance).
 
     Heavier suggestions first, then closer ones, then by title; one row per
-    document. `completed` is read twice, so it should be a written table.
+    document. The words of `completed` are read more than once, so they should be a written table.
     """
+    size = _asked_size(completed, size)
     typed = queries.select("query_id", F.lower("text").alias("text"))
-    found = (near_prefixes(typed, completed).join(completed, "prefix")
+    longest = completed.words.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
+    # a text more than one longer than the longest word is near no prefix of it
+    texts = typed.filter(F.length("text") <= longest + 1).select("text").distinct()
+    prefixes = materialize(_prefixes(completed, _lengths(texts, around=1)))
+    found = (near_prefixes(texts, prefixes.select("prefix").distinct()).join(prefixes, "prefix")
              .groupBy("text", "doc_id", "title")
              .agg(F.max(F.struct("weight", (-F.col("distance")).alias("nearness"))).alias("best"))
              .select("text", "doc_id", "title", "best.weight",
                      (-F.col("best.nearness")).alias("distance")))
     order = [F.desc("weight"), F.asc("distance"), F.asc("title"), F.asc("doc_id")]
-    # rank once per distinct text, then hand the list to every query that typed it
     ranked = _top(found, ["text"], order, size, "rank")
     return typed.join(ranked, "text").select(
         "query_id", "rank", "doc_id", "title", "weight", "distance")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.functions import urls
+from shelfspark.functions import text, urls
 from shelfspark.operators import tables
 from shelfspark.operators.catalog import catalog_union, to_catalog
-from shelfspark.operators.extract import extract_fields
+from shelfspark.operators.extract import site_fields
 from shelfspark.operators.records import BUILDERS
 from shelfspark.plans.inputs import NOW, case_of, pages, sql_case_of, table
 from shelfspark.plans.page_plans import DECODE
@@ -41,7 +41,8 @@ def site_pages(page_table: DataFrame, site: str) -> DataFrame:
             '<i id="downNumId">', F.length(html).cast("string"), '</i><i id="readNumId"> ', number,
             '</i><i id="commentNumId">', case_of(F.col("page_id"), number, F.lit("many")),
             '</i><i id="collectNumId">0</i><div id="swfPreview"><div><div><div><span>a</span><span>b</span><span>',
-            F.date_format(day, DAY_TEXT), "</span></div></div></div></div>"),
+            F.date_format(day, DAY_TEXT), "</span></div></div></div></div>",
+            F.when(F.pmod("page_id", F.lit(11)) == 5, '<div class="education-banner">').otherwise("<div>"), "</div>"),
         "pipipan": (
             '<div class="view_title"><h3>', heading, '</h3></div><div class="item-red x clearfix">',
             '<div class="inline"><a>', heading, '.mobi</a></div><span class="pull-right">\n\t', number,
@@ -52,7 +53,8 @@ def site_pages(page_table: DataFrame, site: str) -> DataFrame:
             "</span></div><div>5</div><div>6: <span>", F.length(html).cast("string"),
             "</span></div></div></div><div><div><div>1</div><div>2: <span>book</span><span>",
             F.substring_index(urls.host(F.col("url")), ".", 1), "</span></div></div></div>",
-            '</div></div></div></div></div><div id="resource_content">', article, "</div>"),
+            '</div></div></div></div></div><div id="resource_content">', article, "</div>",
+            F.when(F.pmod("page_id", F.lit(7)) == 3, "<p>未找到</p>").otherwise("")),
         "mebook": (
             '<div id="primary"><h1>《', heading, "》epub</h1></div>",
             '<div class="postinfo"><div class="left">发布 ', F.date_format(day, "yyyy年M月d日"),
@@ -70,15 +72,19 @@ def site_pages(page_table: DataFrame, site: str) -> DataFrame:
 
 
 def site_records(spark: SparkSession, sf: str, site: str) -> DataFrame:
-    hits = extract_fields(site_pages(pages(spark, sf), site), SOURCES[site].fields)
+    hits = site_fields(site_pages(pages(spark, sf), site), SOURCES[site])
     return BUILDERS[site](hits, NOW, keep=("page_id",))
 
 
 def _plain(records: DataFrame) -> DataFrame:
-    """Decimals as doubles, so both engines print them alike."""
-    return records.select(*[
-        F.col(name).cast("double").alias(name) if kind.startswith("decimal") else F.col(name)
-        for name, kind in records.dtypes])
+    """Decimals as doubles, so both engines print them alike; counters as the table reads them."""
+    def shown(name: str, kind: str):
+        if kind.startswith("decimal"):
+            return F.col(name).cast("double").alias(name)
+        if name.endswith("_num") and kind == "string":
+            return text.to_count(F.col(name)).alias(name)
+        return F.col(name)
+    return records.select(*[shown(name, kind) for name, kind in records.dtypes])
 
 
 def _build(site: str):
@@ -110,13 +116,13 @@ SITE_SQL = {
         0 AS collect_num, epoch_ms(CAST({_DAY} AS TIMESTAMP)) AS upload_time,
         CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 2 THEN 'epub'
              WHEN regexp_matches({_H1}, '^.+\\..+') THEN regexp_extract({_H1}, '^.+\\.(.+)', 1)
-             ELSE 'None' END AS type"""),
+             ELSE 'None' END AS type""", "WHERE page_id % 11 <> 5"),
     "pipipan": _site_sql("pipipan", f"""
         {_H1} AS title, CAST(length(html) AS INTEGER) AS read_num,
         CAST({sql_case_of("page_id", f"{NOW} - page_id * 3600000", f"{NOW} - page_id * 86400000",
                           f"epoch_ms(CAST({_DAY} AS TIMESTAMP))", f"{NOW}")} AS BIGINT) AS upload_time,
         'mobi' AS type, page_id || ' KB' AS size, 'book,' || {_NAME} AS tag,
-        {_ARTICLE_TEXT} AS description"""),
+        {_ARTICLE_TEXT} AS description""", "WHERE page_id % 7 <> 3"),
     "mebook": _site_sql("mebook", f"""
         '《' || {_H1} || '》epub' AS title, epoch_ms(CAST({_DAY} AS TIMESTAMP)) AS upload_time, 'epub' AS type,
         {_ARTICLE_TEXT} || '下载地址' AS description, 'novel' AS tag""",
@@ -271,7 +277,7 @@ QUERIES = {
     "fanout_counts": fanout_counts,
 }
 
-ACCEPTED_ISHARE = "length(title) <= 255 AND length(url) <= 255 AND length(type) <= 5"
+ACCEPTED_ISHARE = "length(title) <= 255 AND length(url) <= 255 AND length(type) <= 5 AND comment_num IS NOT NULL"
 
 ORACLE = {
     "conform_records": r"""

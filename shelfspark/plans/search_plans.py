@@ -138,8 +138,8 @@ def suggest_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suggest_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    completed = materialize(suggest.completions(suggest_docs(spark, sf)))
-    return suggest.suggest_fuzzy(_typos(spark, sf), completed)
+    words, size = suggest.completions(suggest_docs(spark, sf))
+    return suggest.suggest_fuzzy(_typos(spark, sf), suggest.Completions(materialize(words), size))
 
 
 def suggest_json(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import ordered_sets, text, times
-from shelfspark.operators import records
+from shelfspark.operators import extract, records
 from shelfspark.operators.tables import accepted, conform, delete_by_key, upsert
 from shelfspark.plans.inputs import NOW, case_of, sql_case_of, table
-from shelfspark.schemas import SOURCES, XICI_IP
+from shelfspark.schemas import SOURCES, XICI_IP, FieldSpec
 
 
 def _str(column: str):
@@ -122,20 +122,23 @@ def duration_ms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _proxy_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as rows of a proxy list: eleven cells and a speed text."""
+    """Suppliers as pages of a proxy list, cut into cells: twelve text nodes a row, and a speed text."""
     key, nation = F.col("s_suppkey"), _str("s_nationkey")
     protocol = case_of(F.col("s_nationkey"), F.lit("HTTP"), F.lit("HTTPS"), F.lit("socks"))
     lived = case_of(key, F.concat(nation, F.lit("分钟")), F.concat(nation, F.lit("小时")),
                     F.concat(nation, F.lit("天")), F.lit("?"))
-    blank = F.lit("")
-    cells = F.array(
-        F.concat(F.lit("10."), F.floor(key / 65536).cast("string"), F.lit("."),
-                 F.pmod(F.floor(key / 256), F.lit(256)).cast("string"), F.lit("."),
-                 F.pmod(key, F.lit(256)).cast("string")),
-        F.concat(F.lit("80"), nation), F.col("s_name"), blank, blank, protocol, blank, blank, blank,
-        blank, lived)
-    speed = case_of(key, F.concat(_str("s_nationkey"), F.lit(".25秒")), F.lit(None).cast("string"))
-    return table(spark, sf, "supplier").select("s_suppkey", cells.alias("cells"), speed.alias("speed"))
+    address = F.concat(F.lit("10."), F.floor(key / 65536).cast("string"), F.lit("."),
+                       F.pmod(F.floor(key / 256), F.lit(256)).cast("string"), F.lit("."),
+                       F.pmod(key, F.lit(256)).cast("string"))
+    bar = case_of(key, F.concat(F.lit('<div title="'), _str("s_nationkey"), F.lit('.25秒" class="bar">')), F.lit('<div class="bar">'))
+    parts = ['<table id="ip_list"><tr><th>ip</th></tr><tr class="odd"><td class="country"></td><td>', address, "</td><td>80", nation,
+             "</td><TD>\n<a>", F.col("s_name"), "</a>\n</TD><td>high &amp; low</td><td>", protocol, "</td><td>\n", bar,
+             "<div></div></div>\n</td><td>\n<div class='bar'><div></div></div>\n</td><td>", lived, "</td><td>17-01-01</td></tr></table>"]
+    page = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    lists = table(spark, sf, "supplier").select("s_suppkey", page.alias("html"))
+    hits = extract.extract_fields(lists, [FieldSpec("rows", "#ip_list tr", "html")], keep=["s_suppkey"])
+    rows = extract.table_rows(hits, "rows", "td", keep=["s_suppkey"])
+    return rows.select("s_suppkey", "cells", extract.row_attribute(F.col("row"), "title").alias("speed"))
 
 
 PROXY_SQL = """
@@ -159,6 +162,14 @@ def _pool(spark: SparkSession, sf: str) -> DataFrame:
     return accepted(conform(_proxies(spark, sf), XICI_IP))
 
 
+def proxy_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """What is cut from the pages of a proxy list: the number of cells and those read by position."""
+    cell = F.col("cells")
+    return _proxy_cells(spark, sf).select(
+        "s_suppkey", F.size(cell).cast("bigint").alias("n_cells"), F.get(cell, F.lit(4)).alias("kind"),
+        F.get(cell, F.lit(5)).alias("protocol"), F.get(cell, F.lit(10)).alias("lived"), "speed")
+
+
 def proxy_seed(spark: SparkSession, sf: str) -> DataFrame:
     """The pool table as loaded: a row without a readable live time is refused."""
     return _pool(spark, sf)
@@ -230,6 +241,7 @@ QUERIES = {
     "date_to_ms": date_to_ms,
     "ms_to_date": ms_to_date,
     "duration_ms": duration_ms,
+    "proxy_pages": proxy_pages,
     "proxy_seed": proxy_seed,
     "proxy_type": proxy_type,
     "proxy_url": proxy_url,
@@ -276,6 +288,13 @@ ORACLE = {
     "duration_ms": f"""SELECT event_id, CAST({sql_case_of(
         "event_id", "user_id * 60000", "user_id * 3600000", "user_id * 86400000", "NULL")} AS BIGINT) AS ms
         FROM events""",
+    "proxy_pages": """
+        SELECT s_suppkey, CAST(12 AS BIGINT) AS n_cells, 'high & low' AS kind,
+            CASE s_nationkey % 3 WHEN 0 THEN 'HTTP' WHEN 1 THEN 'HTTPS' ELSE 'socks' END AS protocol,
+            CASE s_suppkey % 4 WHEN 0 THEN s_nationkey || '分钟' WHEN 1 THEN s_nationkey || '小时'
+                 WHEN 2 THEN s_nationkey || '天' ELSE '?' END AS lived,
+            CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey || '.25秒' END AS speed
+        FROM supplier""",
     "proxy_seed": f"WITH {PROXY_SQL} SELECT * FROM pool",
     "proxy_type": f"WITH {PROXY_SQL} SELECT s_suppkey, ip, type, speed, live_time FROM cells",
     "proxy_url": f"WITH {PROXY_SQL} SELECT ip, type || '://' || ip || ':' || port AS proxy FROM pool",

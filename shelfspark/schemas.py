@@ -149,8 +149,14 @@ class SourceSpec:
     fields: tuple[FieldSpec, ...] = ()
     suggest_fields: tuple[tuple[str, int], ...] = (("title", 10),)
     routes: tuple[tuple[str, str], ...] = field(default=())
+    # text of error pages: a page that holds it is no record
+    lacking: tuple[str, ...] = ()
 
 
+# Fixed page markers.
+NOT_FOUND = "未找到"
+BANNER = "education-banner"
+
 # Detail tables of the second site sit at fixed positions under the container.
 _PANEL = "#main-container > div > div > div > div:nth(2)"
 _FACTS = _PANEL + " > div:nth(2) > div > div"
@@ -177,6 +183,7 @@ SOURCES: dict[str, SourceSpec] = {
             suggest_fields=(("title", 10), ("type", 7)),
             routes=((r".*iask.sina.com.cn/c/([0-9]+).html$", "category"),
                     (r".*cn/f/[a-zA-Z0-9]*.html$", "detail")),
+            lacking=(BANNER,),
         ),
         SourceSpec(
             site="pipipan",
@@ -194,6 +201,7 @@ SOURCES: dict[str, SourceSpec] = {
                 FieldSpec("description", "#resource_content", "html"),
             ),
             suggest_fields=(("title", 10), ("tag", 7)),
+            lacking=(NOT_FOUND,),
         ),
         SourceSpec(
             site="mebook",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 # a table of a few short columns with this many rows stays near 20 MB
 BROADCAST_ROWS = 200_000
+# of compressed Parquet
+BROADCAST_BYTES = 8 << 20
+# what one task reads of a scan
+SPLIT_BYTES = 128 << 20
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -68,33 +73,79 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one."""
+    return os.path.join(shared_dir(spark), spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path inside the shared folder that no other job uses."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A path inside the application's folder that no other job uses."""
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables, once all results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _write(df: DataFrame) -> str:
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` as Parquet in the shared folder: its lineage ends, and readers prune its columns."""
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df))
+
+
+def _file_bytes(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
 def sized(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder, and marked for broadcast if it is small.
 
-    The rows are counted, not estimated; above the limit the join shuffles.
+    Rows and bytes are those of the written table, not an estimate; beyond either limit the
+    join shuffles.
     """
-    written = materialize(df)
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+    spark = df.sparkSession
+    path = _write(df)
+    written = spark.read.schema(df.schema).parquet(path)
+    small = _file_bytes(spark, path) <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS
+    return F.broadcast(written) if small else written
 
 
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores when its scan would leave half of them idle.
 
-    For steps that cost much time per row. A scan with enough splits, as any
-    large table has, is left as it is; a stream is never repartitioned.
+    For steps that cost much time per row. The size is the optimizer's, which for a
+    scan is that of its files; nothing is run. A large table and a stream are left
+    as they are.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES // 2 else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, which else find it only beside a driver of the same machine.
+
+    Once per application; Spark's own file service hands the archive to executors that join later.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="shelfspark-"), "shelfspark"), "zip",
+                                  os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)

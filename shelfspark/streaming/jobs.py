@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.functions import urls
 from shelfspark.operators.catalog import to_catalog
-from shelfspark.operators.extract import extract_fields
+from shelfspark.operators.extract import site_fields
 from shelfspark.operators.ranking import keyword_scores
 from shelfspark.operators.records import BUILDERS
 from shelfspark.operators.tables import fan_out
@@ -71,7 +71,7 @@ def start_ingest(pages: DataFrame, spec: SourceSpec, root: str, now: int,
     of the batch: pages are parsed once.
     """
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        hits = extract_fields(batch, spec.fields)
+        hits = site_fields(batch, spec)
         records = BUILDERS[spec.site](hits, now, keep=(seq,)).withColumnRenamed(seq, "seq").persist()
         try:
             fan_out(records, to_catalog(records, spec.site, keep=("seq",)), spec, batch_id, root)

@@ -1,5 +1,10 @@
 """Extraction, links and walks on small pages."""
 
+import os
+import subprocess
+import sys
+import time
+
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text
@@ -62,6 +67,51 @@ def test_table_rows(spark):
     assert [(r.cells, r.speed) for r in rows] == [(["1.1.1.1", "80"], "0.5秒"), (["2.2.2.2", "81"], None)]
 
 
+def test_cells_are_direct_text(spark):
+    """Text before, between and after inner elements counts; empty cells and inner text do not."""
+    row = '<tr><TD>a</TD><td></td><td>\n<i title="0.5秒">x</i>\n</td><td>b &amp; c</td></tr>'
+    df = spark.createDataFrame([(1, [row])], "page_id bigint, rows array<string>")
+    cells = extract.table_rows(df, "rows", "td", ["page_id"], header_rows=0).first().cells
+    assert cells == ["a", "\n", "\n", "b & c"]
+
+
+def test_links_in_all_forms(spark):
+    page = """<a href="/a?x=1&amp;y=2">1</a> <A HREF='/b'>2</A> <a class=x href = /c>3</a> <a data-href="/no">4</a>
+        <a href=''>5</a><link href=/d/><a title='q' href="&lt;/e&amp;lt;">"""
+    df = spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")
+    got = [r.href for r in extract.extract_links(df).orderBy("link_no").collect()]
+    assert got == ["/a?x=1&y=2", "/b", "/c", "", "/d/", "</e&lt;"]
+
+
+def test_error_pages_are_no_records(spark):
+    pages = [(1, "u", '<div class="view_title"><h3>t</h3></div>'), (2, "u", "<p>未找到</p>")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert [r.page_id for r in extract.site_fields(df, SOURCES["pipipan"]).collect()] == [1]
+
+
+def test_deep_page_takes_linear_time():
+    cutter = extract._Cutter([("t", "all_text", extract.parse_selector("article p")), ("h", "text", extract.parse_selector(".x"))])
+    page = "<article><p>" + "<b>x</i>" * 125_000 + "</p></article>"
+    start = time.time()
+    hits = cutter.cut(page)
+    assert hits["t"] == ["x" * 125_000] and time.time() - start < 10
+
+
+def test_workers_find_the_package(tmp_path):
+    """A driver started in another folder, with the package on its own path only."""
+    code = ("import sys; sys.path.insert(0, sys.argv[1])\n"
+            "from shelfspark.session import build_session\n"
+            "from shelfspark.operators.extract import extract_fields\n"
+            "from shelfspark.schemas import FieldSpec\n"
+            "spark = build_session('other', 'local[1]')\n"
+            "df = spark.createDataFrame([(1, 'u', '<a>x</a>')], 'page_id bigint, url string, html string')\n"
+            "assert extract_fields(df, [FieldSpec('a', 'a')]).first().a == ['x']\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_seen_file(spark, tmp_path):
     good = "a" * 40
     path = tmp_path / "requests.seen"

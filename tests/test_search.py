@@ -72,7 +72,6 @@ def test_search_equals_brute_force(spark, built, fields, plain_pairs, monkeypatc
     rows, queries, index = built
     if plain_pairs == 0:
         monkeypatch.setattr("shelfspark.session.BROADCAST_ROWS", 0)
-        monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
     want = ranking(rows, queries, fields)
     df = spark.createDataFrame(queries, "query_id bigint, text string")
     for size in (3, 10):
@@ -145,7 +144,6 @@ def complete(docs, typed, fuzzy, size):
     for doc, title, inputs in docs:
         for words, weight in inputs:
             for word in words:
-                word = word[:suggest.MAX_INPUT]
                 dist = [near(typed, word[:n]) for n in range(1, len(word) + 1)]
                 dist = [d for d in dist if d == 0 or (fuzzy and d == 1 and len(typed) >= 3)]
                 if dist:
@@ -157,11 +155,11 @@ def complete(docs, typed, fuzzy, size):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suggestions_equal_brute_force(spark, seed):
     rng = random.Random(seed)
-    vocab = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 7))) for _ in range(30)] + ["a" * 60]
+    vocab = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 7))) for _ in range(30)] + ["a" * 60, "b" * 51, "ab" * 100]
     docs = [(d, f"t{rng.randint(0, 9)}", [(rng.sample(vocab, rng.randint(1, 3)), 10), (rng.sample(vocab, 2), 7)])
             for d in range(60)]
     typed = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(60)]
-    typed += ["Ab", "a" * 50, "a" * 51, ""]
+    typed += ["Ab", "a" * 50, "a" * 51, "", "b" * 51, "b" * 50, "ab" * 99 + "b", "ab" * 100, "a" * 5000]
     schema = "doc_id bigint, title string, suggest array<struct<input:array<string>,weight:int>>"
     completed = suggest.completions(spark.createDataFrame(docs, schema), size=4)
     queries = spark.createDataFrame(list(enumerate(typed)), "query_id int, text string")
@@ -174,6 +172,31 @@ def test_suggestions_equal_brute_force(spark, seed):
             assert got.get(q, []) == complete(docs, text.lower(), fuzzy, 4), (text, fuzzy)
 
 
+def test_no_more_suggestions_than_kept(spark):
+    docs = spark.createDataFrame([(1, "t", [(["word"], 10)])],
+                                 "doc_id bigint, title string, suggest array<struct<input:array<string>,weight:int>>")
+    queries = spark.createDataFrame([(1, "wo")], "query_id int, text string")
+    for run in (suggest.suggest_prefix, suggest.suggest_fuzzy):
+        with pytest.raises(ValueError):
+            run(queries, suggest.completions(docs, size=4), size=5)
+
+
+def test_pages_of_any_depth(spark, tmp_path):
+    """A page number near the integer limit empties its own query and no other."""
+    docs = spark.createDataFrame([(f"d{i:03}", f"red book {i}") for i in range(60)], "doc_id string, title string")
+    index = indexing.write_index(docs, {"title": "fine"}, str(tmp_path / "i"), ["title"], buckets=2)
+    pages = {1: "1", 2: "2", 3: "2147483647", 4: "50", 5: "99999999999", 6: None, 7: "6"}
+    df = spark.createDataFrame([(q, "red", p) for q, p in pages.items()], "query_id bigint, text string, page string")
+    got = {}
+    for r in search.search(df, index, ("title",)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id))
+    ids = [f"d{i:03}" for i in range(60)]
+    first = list(zip(range(1, 11), ids))
+    assert got == {1: first, 5: first, 6: first, 2: list(zip(range(11, 21), ids[10:20])), 7: list(zip(range(51, 61), ids[50:]))}
+    totals = search.total_hits(df, index, ("title",)).collect()
+    assert {r.total for r in totals} == {60}
+
+
 def test_typing_distance(spark):
     cases = [("wigd", "widg", 1), ("midg", "widg", None), ("widg", "widg", 0), ("wdg", "widg", 1),
              ("widxg", "widg", 1), ("iwdg", "widg", None), ("wiabdg", "widg", None), ("读书人", "读人书", 1)]

@@ -56,8 +56,8 @@ def test_ingest_equals_batch_upsert(spark, feed, tmp_path):
     folder, add = feed
     root, spec = str(tmp_path / "ingest"), SOURCES["ishare"]
     html = "<h1>{0}</h1><article>x</article><a href=\"/q\">{0}</a>"
-    first = [(0, "http://a/1", html.format("one")), (1, "http://a/2", html.format("two"))]
-    second = [(2, "http://a/1", html.format("three")), (4, "http://a/3", html.format("x" * 300)), (5, None, "")]
+    first = [(0, "http://a/1", html.format("one")), (10, "http://a/2", html.format("two"))]
+    second = [(2, "http://a/1", html.format("three")), (4, "http://a/3", html.format("x" * 300)), (7, None, "")]
     schema = "page_id bigint, url string, html string"
     for part in (first, second):
         add(spark.createDataFrame(part, schema))
@@ -73,4 +73,4 @@ def test_ingest_equals_batch_upsert(spark, feed, tmp_path):
     # the long title breaks a table rule only; the page without an address reaches no sink
     assert current_index(spark, root, spec).count() == 3
     faults = {r.seq: (r.reject, r.sink) for r in read_sink(spark, root, spec, "rejects").collect()}
-    assert faults[4] == ("long:title", "table") and faults[5][1] == "index"
+    assert faults[4] == ("long:title", "table") and faults[7][1] == "index"

@@ -172,3 +172,15 @@ def test_suggestion_words_by_field(spark):
 
     assert run() == [[(["red", "book"], 10), (["pdf"], 7)], [(["red", "book"], 10)], []]
     assert run(dedup=False)[0] == [(["red", "book"], 10), (["book", "pdf"], 7)]
+
+
+def test_long_numbers_do_not_end_a_job(spark):
+    """Twenty digits in every expression that reads a number."""
+    n, now = "9" * 20, 1_700_000_000_000
+    texts = [f"{n}小时前", f"昨天{n}:00", "昨天99999999999999999:00", f"前天10:{n}", f"{n}天前", "999999999999小时前", f"{n}-1-1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    rows = df.select(times.upload_time_ms(t, now).alias("ms"), times.ms_to_date(times.upload_time_ms(t, now)).alias("day"),
+                     times.upload_time_cn(F.lit(f"{n}年1月1日"), now).alias("cn"), times.duration_ms(F.concat(F.lit(n), F.lit("天"))).alias("d"),
+                     text.to_count(F.lit(n)).alias("count"), times.ms_to_date(F.lit(-(1 << 62))).alias("far")).collect()
+    assert all(r.ms == now and r.cn == now and r.d is None and r["count"] is None and r.far is None for r in rows)
