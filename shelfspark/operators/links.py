@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +47,18 @@ def in_domain_table(links: DataFrame, domains: DataFrame, url: str = "url",
             .join(allowed, "host", "left_semi").drop("host"))
 
 
-def walk_frontier(seeds: DataFrame, links: DataFrame, hops: Sequence[str]) -> DataFrame:
+def walk_frontier(seeds: DataFrame, links: DataFrame, hops: Sequence[str], repeat_last: bool = False) -> DataFrame:
     """Pages reached from `seeds(url)` over `links(src_url, dst_url, route)`.
 
     Hop n follows only links of route `hops[n - 1]`; a page counts at its
-    smallest depth and is expanded once. Each level is written to the shared
+    smallest depth and is expanded once. With `repeat_last` the last route leads into
+    itself: it is followed until a level finds no new page. Each level is written to the shared
     folder before the next one, so the plan does not grow with the depth.
     """
     frontier = materialize(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
-    for depth, name in enumerate(hops, start=1):
+    more = repeat(hops[-1]) if repeat_last and hops else ()
+    for depth, name in enumerate(chain(hops, more), start=1):
         step = links.filter(F.col("route") == name).select(
             F.col("src_url").alias("url"), "dst_url")
         reached = (frontier.select("url").join(step, "url")

@@ -139,6 +139,19 @@ def walk_frontier_query(spark: SparkSession, sf: str) -> DataFrame:
     return walk_frontier(seeds, shop_links(spark, sf), HOPS)
 
 
+def walk_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders lead to their first lines, and lines to the next ones: a route into itself, until nothing is new."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    order = F.col("l_orderkey").cast("string")
+
+    def line(number):
+        return F.concat(order, F.lit("/"), number.cast("string"))
+    into = lines.filter("l_linenumber = 1").select(order.alias("src_url"), line(F.col("l_linenumber")).alias("dst_url"), F.lit("list").alias("route"))
+    on = lines.select(line(F.col("l_linenumber") - 1).alias("src_url"), line(F.col("l_linenumber")).alias("dst_url"), F.lit("list").alias("route"))
+    seeds = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("url"))
+    return walk_frontier(seeds, into.unionByName(on), ["list"], repeat_last=True)
+
+
 def walk_next_pages_query(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of an order as list pages: line n leads to line n + 1."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
@@ -177,6 +190,7 @@ QUERIES = {
     "seen_fingerprints": seen_fingerprints,
     "new_links": new_links_query,
     "walk_frontier": walk_frontier_query,
+    "walk_lists": walk_lists,
     "walk_next_pages": walk_next_pages_query,
     "url_ids": url_ids,
 }
@@ -237,6 +251,12 @@ ORACLE = {
             SELECT 'r/' || r_regionkey, 0 FROM region
             UNION SELECT e.dst, e.hop FROM w JOIN e ON e.src = w.url AND e.hop = w.depth + 1)
         SELECT url, min(depth) AS depth FROM w GROUP BY url""",
+    "walk_lists": """
+        WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS i FROM lineitem),
+        w(o, i) AS (
+            SELECT o_orderkey, CAST(0 AS BIGINT) FROM orders
+            UNION SELECT w.o, CAST(n.i AS BIGINT) FROM w JOIN n ON n.o = w.o AND n.i = w.i + 1)
+        SELECT CASE WHEN i = 0 THEN CAST(o AS VARCHAR) ELSE o || '/' || i END AS url, CAST(i AS INTEGER) AS depth FROM w""",
     "walk_next_pages": """
         WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS i FROM lineitem),
         w(o, i, hop) AS (

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from shelfspark.functions import analysis, times
 from shelfspark.operators import index as indexing
 from shelfspark.operators import search, suggest
-from shelfspark.operators.catalog import gen_suggests
+from shelfspark.operators.catalog import catalog_union, gen_suggests
+from shelfspark.operators.records import DOWNLOAD_LABEL
 from shelfspark.plans.inputs import (
     BOOK_DOCS_SQL, FIELDS, book_docs, book_index, case_of, sql_case_of, table)
-from shelfspark.session import materialize, spread
+from shelfspark.plans.record_plans import SITE_SQL, site_records
+from shelfspark.schemas import DOC_SITES
+from shelfspark.session import materialize, scratch_path, spread
 
 ALL_FIELDS = ("title", "tag", "description")
 TITLE = ("title",)
@@ -111,6 +114,25 @@ def search_hits(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("upload_time", times.date_part(F.col("upload_time"))))
 
 
+def _catalog_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue of all sites; a page that several sites hold is a document of each."""
+    rows = catalog_union({site: site_records(spark, sf, site) for site in DOC_SITES})
+    # without the one Han label: how Han runs are cut has its own tests, and no simple SQL
+    return rows.select(F.concat_ws(":", "site", "doc_id").alias("doc_id"), "title", "tag",
+                       F.replace("description", F.lit(DOWNLOAD_LABEL), F.lit(" ")).alias("description"))
+
+
+def search_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """From pages to hits: catalogue, index, ranked search with totals and marked titles."""
+    queries = _queries(spark, sf)
+    index = indexing.write_index(_catalog_docs(spark, sf), FIELDS, scratch_path(spark, "catalog-index"),
+                                 stored=["title", "tag"], buckets=8)
+    hits = search.search(queries, index, ALL_FIELDS)
+    shown = search.show_hits(hits, queries, index).select("query_id", "rank", "doc_id", "score", "title")
+    totals = search.total_hits(queries, index, ALL_FIELDS).select("query_id", "total")
+    return shown.join(totals, "query_id")
+
+
 def _prefixes(spark: SparkSession, sf: str) -> DataFrame:
     """What users typed: the first letters of a word of each part's name."""
     word = F.get(F.split("p_name", " "), F.pmod("p_size", F.lit(2)))
@@ -161,6 +183,7 @@ QUERIES = {
     "search_batch": search_batch,
     "highlight": highlight,
     "search_hits": search_hits,
+    "search_catalog": search_catalog,
     "suggest_prefix": suggest_prefix,
     "suggest_fuzzy": suggest_fuzzy,
     "suggest_json": suggest_json,
@@ -202,6 +225,11 @@ hits AS (SELECT query_id, page, rank, doc_id, score FROM ranked
          WHERE rank > (page - 1) * {size} AND rank <= page * {size})"""
 
 
+_TEXT_COLUMNS = {"ishare": ("NULL", "NULL"), "pipipan": ("tag", "description"), "mebook": ("tag", "description"),
+                 "ireadweek": ("NULL", "introduction")}
+_CATALOG_DOCS_SQL = (", ".join(SITE_SQL[s] for s in DOC_SITES) + ", d AS (" + " UNION ALL ".join(
+    f"SELECT '{s}:' || url_obj_id AS doc_id, title, {tag} AS tag, replace({text}, '{DOWNLOAD_LABEL}', ' ') AS description FROM {s}"
+    for s, (tag, text) in _TEXT_COLUMNS.items()) + "),\n" + BOOK_DOCS_SQL[BOOK_DOCS_SQL.index("toks AS"):])
 _HITS_SQL = "SELECT query_id, rank, doc_id, score FROM hits"
 _WORDS_SQL = f"words AS (SELECT query_id, list_distinct({_TOKENS.format('text')}) AS w FROM queries)"
 
@@ -258,6 +286,10 @@ ORACLE = {
         SELECT query_id, rank, doc_id, score, {_marked('title')} AS title, substring({_marked('tag')}, 1, 500) AS tag,
                url, source_website, split_part(upload_time, 'T', 1) AS upload_time
         FROM hits JOIN d USING (doc_id) JOIN words USING (query_id)""",
+    "search_catalog": f"""WITH {_ranked_sql(ALL_FIELDS).replace(BOOK_DOCS_SQL, _CATALOG_DOCS_SQL)}, {_WORDS_SQL},
+        n AS (SELECT query_id, count(*) AS total FROM scored GROUP BY query_id)
+        SELECT query_id, rank, doc_id, score, {_marked('title')} AS title, total
+        FROM hits JOIN d USING (doc_id) JOIN words USING (query_id) JOIN n USING (query_id)""",
     "suggest_prefix": f"{_PREFIX_SQL} SELECT * FROM listed",
     "suggest_fuzzy": f"""WITH {_SUGGEST_SQL},
         typed AS (SELECT p_partkey AS query_id, {_TYPED} AS text FROM part),
