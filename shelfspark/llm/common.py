@@ -11,6 +11,8 @@ from shelfspark.session import scratch_path
 
 # bytes of a text that are split into words at once
 WORD_CHUNK = 1 << 22
+# components of a bucket beyond which its members are dealt again
+HOT_PARTS = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -82,7 +84,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame],
-                        prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
+                        prepare: Callable[[DataFrame], None] | None = None,
+                        deal_again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of all ids that share a bucket and pass `verified`, without all pairs of a bucket.
 
     members(bucket..., id): `bucket` is one column.  `verified` takes distinct pairs
@@ -92,6 +95,8 @@ def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], Data
     pairs in different components are left to compare; the members outside a
     bucket's largest component are met with the bucket's other components.  After that no
     pair of a bucket is in two components and a link, so the components are exact.
+    `deal_again` gives the ids of buckets with more than HOT_PARTS components new, narrower buckets
+    instead, where alike but unlinked members are many.
     Returns (id, root) for linked ids.
     """
     sizes = members.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
@@ -103,18 +108,33 @@ def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], Data
     roots = components(first)
     placed = written(shared.join(roots, "id", "left").select(
         "bucket", "id", F.coalesce("root", "id").alias("root")), "placed")
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = (parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
-               .where("parts > 1").select("bucket", F.col("top.root").alias("top")))
-    split = placed.join(largest, "bucket")
-    outside = split.where("root <> top").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    inside = split.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("main"))
-    cross = (outside.join(inside, "bucket").where("ra <> rb and (main or a < b)")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if deal_again:
+        hot = _parts(placed).where(F.col("parts") > HOT_PARTS).select("bucket")
+        of_hot = written(placed.join(hot, "bucket").select("id", "root").distinct(), "hot-members")
+        again = written(deal_again(of_hot.select("id")).join(of_hot, "id").select("bucket", "id", "root"), "dealt-again")
+        cross = _cross(placed.join(hot, "bucket", "left_anti")).unionByName(_cross(again)).distinct()
+    else:
+        cross = _cross(placed)
     second = written(verified(cross), "cross")
     return components(first.unionByName(second))
 
 
+def _parts(placed: DataFrame) -> DataFrame:
+    """(bucket, top, parts): the largest component of each bucket and their number, where there are several."""
+    return (placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+            .groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
+            .where("parts > 1").select("bucket", F.col("top.root").alias("top"), "parts"))
+
+
+def _cross(placed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket and two components; no pair lies inside a bucket's largest component."""
+    split = placed.join(_parts(placed).drop("parts"), "bucket")
+    outside = split.where("root <> top").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
+    inside = split.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("main"))
+    return (outside.join(inside, "bucket").where("ra <> rb and (main or a < b)")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def with_components(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """`rows` with the root of their key, the key itself where it has no link."""
     named = roots.select(F.col("id").alias(key), F.col("root"))

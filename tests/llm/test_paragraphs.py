@@ -58,6 +58,22 @@ def test_small(spark):
     assert P.paragraph_report(df.limit(0)).count() == 0
 
 
+def test_many_variants_of_one_paragraph(spark, monkeypatch):
+    """Single edits of one text: the links that all pairs have, also where buckets are dealt again."""
+    monkeypatch.setattr("shelfspark.llm.common.HOT_PARTS", 3)
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(60)] = f"e{rng.randint(0, 99)}"
+        rows.append((i, " ".join(words[:rng.choice([45, 60])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["idx"]) for r in P.repeated_paragraphs(df).where("removed").collect())
+    assert got == slow(rows) and got
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
