@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.session import scratch_path
+from shelfspark.session import scratch_path, ship_package
 
 # bytes of a text that are split into words at once
 WORD_CHUNK = 1 << 22
@@ -16,11 +16,13 @@ HOT_PARTS = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as Parquet in the shared folder: its lineage ends there, and any executor can read it."""
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
