@@ -268,9 +268,8 @@ def _window_runs(docs: DataFrame) -> DataFrame:
 
     contexts = one_each.join(wanted, "key").select("text", "wanted").mapInArrow(
         cut, "h long, ph long, kinds long, context binary")
-    # a window that starts up to `j * step` bytes before the anchor, and over (j - 1) * step, holds this string
-    inner = [F.xxhash64(F.lit(j), "h", F.substring("context", LEFT - j * HOT_STEP + 1, LENGTH - HOT_STEP + 1)
-                        if j else F.substring("context", LEFT + 1, LENGTH - HOT_STEP + 1))
+    # all windows that start j * HOT_STEP bytes before the anchor, or up to HOT_STEP - 1 more, hold this string
+    inner = [F.xxhash64(F.lit(j), "h", F.substring("context", LEFT - j * HOT_STEP + 1, LENGTH - HOT_STEP + 1))
              for j in range(LEFT // HOT_STEP + 1)]
     groups = F.when(F.col("kinds") <= HOT_CONTEXTS, F.array("h")).otherwise(F.array(*inner))
     dealt = contexts.select(F.explode(groups).alias("g"), "h", "ph", "context").repartition("g").sortWithinPartitions("g")
