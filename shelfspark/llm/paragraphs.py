@@ -1,10 +1,16 @@
 """Repeated paragraphs: MinHash banding, exact Jaccard of colliding paragraphs, removal by components.
+Repeated passages inside lines or over several lines: runs of words from places that the words choose.
 
 A paragraph is a line.  Equal paragraphs (by their lower-cased words) are one vertex, so a
 paragraph of a third of all documents is banded once.  The bands are tuned for recall: at a similarity of
 0.8 a pair meets in one of 14 bands of 5 with probability 1 - (1 - 0.8 ** 5) ** 14 = 0.996.  A bucket of
 very many unlinked paragraphs, such as single edits of one text, is dealt again by 150 bands of 16: there a pair of
 0.8 meets with probability 0.986 (0.85: 0.9999), one of 0.6 with 0.04 instead of 0.68.
+
+A passage is a run of words of a document, whatever its lines.  Of every PICK_WINDOW places next to each
+other the run of RUN_WORDS words with the least hash is picked, so two documents that share
+RUN_WORDS + PICK_WINDOW - 1 = 50 words in a row pick an equal run in them.  Equal runs, and equal stretches from one
+pick to the end of the next, are removed but for the first.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import link_within_buckets, text_or_empty, with_components, written
+from shelfspark.llm.repeats import _TABLE, _mixed, _power_tables
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -31,6 +38,13 @@ SEED = 42
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 # shingles that are hashed at once
 BLOCK = 1 << 16
+# words of a picked run, and places of which one at least is picked
+RUN_WORDS = 20
+PICK_WINDOW = 31
+# bytes whose words are hashed at once
+BUFFER = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _words(line: Column) -> Column:
@@ -88,13 +102,96 @@ def jaccard(a: str, b: str, words_per_shingle: int = SHINGLE_WORDS) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, doc_id, idx, line): each line with LEAST_WORDS words; one row with nulls for a document without any."""
-    lines = F.transform(F.split(text_or_empty(text_col), "\n"), lambda line, i: F.struct(i.alias("idx"), _words(line).alias("words")))
-    long_enough = F.filter(lines, lambda s: F.size(s["words"]) >= LEAST_WORDS)
+def _word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """A 64-bit hash of each word of each text, many texts at a time; a long text is read in parts that end at white space."""
+    def hashed(parts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
+        bounds = np.cumsum([1] + [len(p) + 1 for p in parts])
+        powers, inverses = _power_tables(max(len(data), BUFFER * 2))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * powers[: len(data)], out=sums[1:])
+        space = _SPACE[data]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        words = _mixed((sums[ends] - sums[starts]) * inverses[starts])
+        return np.split(words, np.searchsorted(starts, bounds[1:-1]))
+
+    held: list[bytes] = []
+    size = 0
+    with np.errstate(over="ignore"):
+        for text in texts:
+            if held and size + len(text) > BUFFER:
+                yield from hashed(held)
+                held, size = [], 0
+            if len(text) <= BUFFER:
+                held.append(text)
+                size += len(text)
+                continue
+            found, start = [], 0
+            while start < len(text):
+                end = min(start + BUFFER, len(text))
+                while end < len(text) and not _SPACE[text[end]]:
+                    end += 1
+                found += hashed([text[start:end]])
+                start = end
+            yield np.concatenate(found)
+        if held:
+            yield from hashed(held)
+
+
+def picked_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, number of words, key) of the picked runs of a text and of the stretches between two picks, ends included."""
+    n = len(words) - RUN_WORDS + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        powers, inverses = _power_tables(max(len(words), BUFFER * 2))
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers[: len(words)], out=sums[1:])
+        runs = _mixed((sums[RUN_WORDS:] - sums[:-RUN_WORDS]) * inverses[:n])
+        width = min(PICK_WINDOW, n)
+        least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
+        at = np.unique(np.arange(len(least)) + least)
+        sizes = np.diff(at) + RUN_WORDS
+        stretches = _mixed((sums[at[1:] + RUN_WORDS] - sums[at[:-1]]) * inverses[at[:-1]] + sizes.astype(np.uint64))
+        return (np.concatenate((at, at[:-1])), np.concatenate((np.full(len(at), RUN_WORDS), sizes)),
+                np.concatenate((runs[at], stretches)).view(np.int64))
+
+
+def _lines(text: Column) -> Column:
+    """(idx, words) of each line of a text with LEAST_WORDS words."""
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("idx"), _words(line).alias("words")))
+    return F.filter(lines, lambda s: F.size(s["words"]) >= LEAST_WORDS)
+
+
+def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row_id, doc_id, idx, n_words, pid, place, key): each long line (idx, pid), each picked run and stretch (place, key).
+
+    A document without any gives one row of nulls.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("place", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64())])
+        for batch in batches:
+            texts = [t.as_py().lower().encode("utf-8", "surrogatepass") for t in batch.column(2)]
+            made = [picked_runs(words) for words in _word_hashes(texts)]
+            place, n_words, key = (np.concatenate([m[k] for m in made]) if made else np.empty(0, np.int64) for k in range(3))
+            items = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(n_words, pa.int32()), pa.array(key, pa.int64())],
+                                               fields=list(kind))
+            offsets = np.concatenate(([0], np.cumsum([len(m[0]) for m in made]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), items)],
+                                             ["row_id", "doc_id", "text", "runs"])
+
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
-                           long_enough.alias("lines"))
-    return numbered.select("row_id", "doc_id", F.explode_outer("lines").alias("p")).select("row_id", "doc_id", "p.idx", "p.words")
+                           text_or_empty(text_col).alias("text")) \
+        .mapInArrow(run, "row_id long, doc_id long, text string, runs array<struct<place:int,n_words:int,key:long>>")
+    none = lambda kind: F.lit(None).cast(kind)
+    lines = F.transform(_lines(F.col("text")), lambda s: F.struct(
+        s["idx"].alias("idx"), F.size(s["words"]).alias("n_words"), F.xxhash64(_hashes(s["words"])).alias("pid"),
+        none("int").alias("place"), none("long").alias("key")))
+    runs = F.transform("runs", lambda s: F.struct(
+        none("int").alias("idx"), s["n_words"].alias("n_words"), none("long").alias("pid"),
+        s["place"].alias("place"), s["key"].alias("key")))
+    return numbered.select("row_id", "doc_id", F.explode_outer(F.concat(lines, runs)).alias("p")).select("row_id", "doc_id", "p.*")
 
 
 def _banded(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
@@ -121,12 +218,14 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     idx counts lines from 0.  A document without long paragraphs (null or empty texts too)
     gives one row whose idx is null.  Rows without a doc_id stand before all others.
     """
-    lines = _lines(docs, id_col, text_col)
-    hashed = lines.withColumn("hashes", _hashes(F.col("words")))
-    rows = written(hashed.select("row_id", "doc_id", "idx", F.size("words").alias("n_words"),
-                                 F.when(F.col("idx").isNotNull(), F.xxhash64("hashes")).alias("pid")), "paragraphs")
+    return _removed_lines(written(_parts(docs, id_col, text_col), "paragraphs"), docs, text_col, similarity)
+
+
+def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    rows = parts.where("pid is not null").select("row_id", "doc_id", "idx", "n_words", "pid")
     # the words of one paragraph of each kind; copies meet before the shuffle
-    texts = written(hashed.where("idx is not null").select(F.xxhash64("hashes").alias("id"), F.concat_ws(" ", "words").alias("words"))
+    texts = written(docs.select(F.explode(_lines(text_or_empty(text_col))).alias("p")).select("p.words")
+                    .select(F.xxhash64(_hashes(F.col("words"))).alias("id"), F.concat_ws(" ", "words").alias("words"))
                     .groupBy("id").agg(F.first("words").alias("words")), "paragraph-texts")
     members = _banded(texts, BANDS, BAND_ROWS)
     held: list[DataFrame] = []
@@ -148,25 +247,59 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _banded(held[0].join(ids, "id", "left_semi"), NARROW_BANDS, NARROW_ROWS)
 
     roots = link_within_buckets(members, verified, prepare, narrow)
-    placed = written(with_components(rows.where("pid is not null"), roots, "pid"), "placed")
+    placed = written(with_components(rows, roots, "pid"), "placed")
     first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row_id", "idx")).alias("first"))
     marked = placed.join(first, "root").select(
         "row_id", "doc_id", "idx", "n_words", F.col("root").alias("component_id"),
         (F.struct("row_id", "idx") != F.struct("first.row_id", "first.idx")).alias("removed"))
-    none = rows.where("pid is null").select("row_id", "doc_id", "idx", F.lit(0).alias("n_words"),
-                                            F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("removed"))
+    none = (parts.groupBy("row_id", "doc_id").agg(F.max("pid").alias("pid")).where("pid is null")
+            .select("row_id", "doc_id", F.lit(None).cast("int").alias("idx"), F.lit(0).alias("n_words"),
+                    F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("removed")))
     return marked.unionByName(none)
 
 
-def paragraph_report(docs: DataFrame, **columns: str) -> DataFrame:
-    """(doc_id, n_paragraphs, n_removed, removed, components), one row per row of `docs`.
+def _removed_passages(parts: DataFrame) -> DataFrame:
+    """(row_id, passages): runs of words (first, n_words) that repeat an earlier one, by (doc_id, row, place)."""
+    runs = parts.where("key is not null").select("row_id", "doc_id", "place", "n_words", "key")
+    shared = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = written(runs.join(shared, "key"), "shared-runs")
+    first = shared.groupBy("key").agg(F.min(F.struct("doc_id", "row_id", "place")).alias("first"))
+    # a run that overlaps the first one in its own document is a part of what stays
+    again = shared.join(first, "key").where(
+        (F.col("row_id") != F.col("first.row_id")) | (F.col("place") >= F.col("first.place") + F.col("n_words")))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for items in batch.column(1).to_pylist():
+                spans: list[list[int]] = []
+                for place, end in sorted((r["place"], r["place"] + r["n_words"]) for r in items):
+                    if spans and place <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], end)
+                    else:
+                        spans.append([place, end])
+                made.append([{"first": a, "n_words": b - a} for a, b in spans])
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("n_words", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], ["row_id", "passages"])
+
+    return (again.groupBy("row_id").agg(F.collect_list(F.struct("place", "n_words")).alias("found"))
+            .mapInArrow(merge, "row_id long, passages array<struct<first:int,n_words:int>>"))
+
+
+def paragraph_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, n_paragraphs, n_removed, removed, components, passages), one row per row of `docs`.
 
-    removed: the lines to remove; components: of the document's long paragraphs, in order of their lines.
+    removed: the lines to remove; components: of the document's long paragraphs, in order of their lines;
+    passages: the words (first, n_words) to remove, counted from 0 over all lines, long or short.
     """
-    found = repeated_paragraphs(docs, **columns)
+    parts = written(_parts(docs, id_col, text_col), "paragraphs")
+    found = _removed_lines(parts, docs, text_col, similarity)
     listed = F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "component_id", "removed"))))
-    return (found.groupBy("row_id", "doc_id").agg(listed.alias("p")).select(
+    rows = found.groupBy("row_id", "doc_id").agg(listed.alias("p"))
+    return rows.join(_removed_passages(parts), "row_id", "left").select(
         "doc_id", F.size("p").cast("long").alias("n_paragraphs"),
         F.size(F.filter("p", lambda s: s["removed"])).cast("long").alias("n_removed"),
         F.transform(F.filter("p", lambda s: s["removed"]), lambda s: s["idx"]).alias("removed"),
-        F.transform("p", lambda s: s["component_id"]).alias("components")))
+        F.transform("p", lambda s: s["component_id"]).alias("components"),
+        F.coalesce("passages", F.array().cast("array<struct<first:int,n_words:int>>")).alias("passages"))

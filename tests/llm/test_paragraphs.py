@@ -79,3 +79,36 @@ def test_given_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
     got = sorted((r["doc_id"], r["idx"]) for r in P.repeated_paragraphs(docs).where("removed").collect())
     assert got == slow(rows) and got
+
+
+def test_passages_inside_lines_and_over_short_lines(spark):
+    """Every run of 50 words that an earlier text holds loses words, and only words that stand elsewhere."""
+    rng = random.Random(21)
+    made = lambda n: [f"v{rng.randint(0, 5000)}" for _ in range(n)]
+    inline, spread = made(60), made(60)
+    short = lambda words: "\n".join(" ".join(words[i:i + 7]) for i in range(0, len(words), 7))
+    rows = []
+    for i in range(12):
+        rows.append((i, " ".join(made(40 + i) + inline + made(70 - i))))
+        rows.append((100 + i, short(made(15 + i) + spread + made(20))))
+    rows += [(200, " ".join(made(300))), (201, ""), (202, None), (203, "again " * 300), (204, "few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.paragraph_report(df).collect()}
+    assert len(got) == len(rows) and not any(r["n_removed"] for r in got.values())
+    for i in range(12):
+        for doc, at in ((i, 40 + i), (100 + i, 15 + i)):
+            spans = [(p["first"], p["first"] + p["n_words"]) for p in got[doc]["passages"]]
+            assert bool(spans) == (i > 0)
+            assert all(at <= a and b <= at + 60 and b - a >= 20 for a, b in spans)
+    assert not any(got[d]["passages"] for d in (200, 201, 202, 204))
+    # a text that repeats itself keeps its first words
+    assert got[203]["passages"][0]["first"] >= 20
+
+
+def test_words_of_passages(monkeypatch):
+    """Words are hashed alike in one buffer, many or parts of a long text."""
+    texts = [b"", b"  a b\tc\n", "\u00e9 x".encode(), b"word " * 50, b"a b c"]
+    want = [w.tolist() for w in P._word_hashes(texts)]
+    assert [len(w) for w in want] == [0, 3, 2, 50, 3] and want[1] == want[4] and len(set(want[3])) == 1
+    monkeypatch.setattr(P, "BUFFER", 9)
+    assert [w.tolist() for w in P._word_hashes(texts)] == want
