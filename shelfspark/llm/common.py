@@ -96,9 +96,10 @@ def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], Data
     smallest id of its bucket, which joins most of a group of near copies.  Then only
     pairs in different components are left to compare; the members outside a
     bucket's largest component are met with the bucket's other components.  After that no
-    pair of a bucket is in two components and a link, so the components are exact.
+    pair of a bucket is in two components and a link, so the components are those of all pairs that meet.
     `deal_again` gives the ids of buckets with more than HOT_PARTS components new, narrower buckets
-    instead, where alike but unlinked members are many.
+    instead, where alike but unlinked members are many.  Of these ids, pairs that meet in the narrower buckets
+    count, not those of the bucket they came from, so a link must meet there as surely.
     Returns (id, root) for linked ids.
     """
     sizes = members.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")

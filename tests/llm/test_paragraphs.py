@@ -112,3 +112,10 @@ def test_words_of_passages(monkeypatch):
     assert [len(w) for w in want] == [0, 3, 2, 50, 3] and want[1] == want[4] and len(set(want[3])) == 1
     monkeypatch.setattr(P, "BUFFER", 9)
     assert [w.tolist() for w in P._word_hashes(texts)] == want
+
+
+def test_narrow_bands_miss_no_more():
+    """A pair of hot buckets meets at least as surely as by the wide bands."""
+    for similarity in (0.8, 0.81, 0.82, 0.85, 0.9, 0.95):
+        wide = (1 - similarity ** P.BAND_ROWS) ** P.BANDS
+        assert (1 - similarity ** P.NARROW_ROWS) ** P.NARROW_BANDS <= wide
