@@ -40,9 +40,10 @@ OUTSIDE = 255
 BUFFER = 1 << 20
 SHARD_ROWS = 4096
 MERGED_ROWS = 1 << 15
-# anchors with more contexts are dealt out again, by longer strings around them
+# contexts of an anchor beyond which their windows are counted by hashes, so that no task holds a larger group
 HOT_CONTEXTS = 20_000
-HOT_STEP = 8
+# contexts whose windows are hashed at once
+HASHED_ROWS = 512
 _RNG = np.random.default_rng(42)
 _TABLE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -201,9 +202,6 @@ def _context_groups(rows: DataFrame) -> DataFrame:
 
     def merged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        # a context that was dealt to several groups must not meet itself
-        named = np.stack([table.column(k).to_numpy() for k in ("h", "ph")], axis=1)
-        table = table.take(np.unique(named, axis=0, return_index=True)[1])
         flat = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT)
         marks = np.pad(repeated_windows(flat).astype(np.int8), ((0, 0), (1, 1)))
         steps = np.diff(marks, axis=1)
@@ -235,6 +233,40 @@ def _context_groups(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _hot_runs(rows: DataFrame) -> DataFrame:
+    """The same as of _context_groups, from rows(h, ph, context): windows are counted by 64-bit hashes, combined on the map side."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, inverses = _power_tables(CONTEXT)
+        powers = _power_tables(CONTEXT)[0][:CONTEXT]
+        for batch in batches:
+            for at in range(0, batch.num_rows, HASHED_ROWS):
+                part = batch.slice(at, HASHED_ROWS)
+                flat = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, CONTEXT)
+                h, ph = part.column(0).to_numpy(), part.column(1).to_numpy()
+                with np.errstate(over="ignore"):
+                    sums = np.zeros((len(flat), CONTEXT + 1), np.uint64)
+                    np.cumsum(_TABLE[flat] * powers, axis=1, out=sums[:, 1:])
+                    # column c: the window that starts LEFT - c bytes before the anchor
+                    windows = (sums[:, LENGTH:] - sums[:, : LEFT + 1]) * inverses[: LEFT + 1]
+                    windows += (h.view(np.uint64) * np.uint64(0x632BE59BD9B4E019))[:, None]
+                    windows += np.arange(LEFT + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+                    windows = _mixed(windows)
+                outside = np.zeros((len(flat), CONTEXT + 1), np.int32)
+                np.cumsum(flat == OUTSIDE, axis=1, out=outside[:, 1:])
+                row, column = np.nonzero(outside[:, LENGTH:] == outside[:, : LEFT + 1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(windows[row, column].view(np.int64)), pa.array(h[row]), pa.array(ph[row]),
+                     pa.array((LEFT - column).astype(np.int32))], ["w", "h", "ph", "a"])
+
+    windows = written(rows.mapInArrow(run, "w long, h long, ph long, a int"), "hot-windows")
+    repeated = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    starts = windows.join(repeated, "w").groupBy("h", "ph").agg(F.sort_array(F.collect_list("a")).alias("s"))
+    first = F.filter("s", lambda x, i: (i == 0) | (F.get("s", i - 1) != x - 1))
+    last = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1) != x + 1, F.lit(True)))
+    return starts.select("h", "ph", F.explode(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("r")) \
+        .select("h", "ph", "r.a", "r.b")
+
+
 def _window_runs(docs: DataFrame) -> DataFrame:
     """(key, first, last): runs of starts of repeated windows in the distinct texts of docs(key, text)."""
     found = anchors(docs)
@@ -249,8 +281,6 @@ def _window_runs(docs: DataFrame) -> DataFrame:
              .select("key", first.alias("first"), last.alias("last")))
 
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = (kinds.join(several, "h").select("at.key", F.struct("at.pos", "h", "ph", "kinds").alias("anchor"))
-              .groupBy("key").agg(F.collect_list("anchor").alias("wanted")))
     one_each = docs.groupBy("key").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,14 +296,18 @@ def _window_runs(docs: DataFrame) -> DataFrame:
                                [data[r["pos"]:r["pos"] + CONTEXT] for r in part]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds_of)], names)
 
-    contexts = one_each.join(wanted, "key").select("text", "wanted").mapInArrow(
-        cut, "h long, ph long, kinds long, context binary")
-    # all windows that start j * HOT_STEP bytes before the anchor, or up to HOT_STEP - 1 more, hold this string
-    inner = [F.xxhash64(F.lit(j), "h", F.substring("context", LEFT - j * HOT_STEP + 1, LENGTH - HOT_STEP + 1))
-             for j in range(LEFT // HOT_STEP + 1)]
-    groups = F.when(F.col("kinds") <= HOT_CONTEXTS, F.array("h")).otherwise(F.array(*inner))
-    dealt = contexts.select(F.explode(groups).alias("g"), "h", "ph", "context").repartition("g").sortWithinPartitions("g")
-    runs = written(_context_groups(dealt).distinct(), "window-runs")
+    def contexts_of(anchors_: DataFrame) -> DataFrame:
+        wanted = (kinds.join(anchors_, "h").select("at.key", F.struct("at.pos", "h", "ph", "kinds").alias("anchor"))
+                  .groupBy("key").agg(F.collect_list("anchor").alias("wanted")))
+        return one_each.join(wanted, "key").select("text", "wanted").mapInArrow(
+            cut, "h long, ph long, kinds long, context binary")
+
+    few, many = several.where(F.col("kinds") <= HOT_CONTEXTS), several.where(F.col("kinds") > HOT_CONTEXTS)
+    dealt = contexts_of(few).select(F.col("h").alias("g"), "h", "ph", "context").repartition("g").sortWithinPartitions("g")
+    runs = _context_groups(dealt)
+    if not many.isEmpty():
+        runs = runs.unionByName(_hot_runs(contexts_of(many).select("h", "ph", "context")))
+    runs = written(runs, "window-runs")
     partial = cand.join(runs, ["h", "ph"]).select(
         "key", (F.col("pos") - F.col("b")).alias("first"), (F.col("pos") - F.col("a")).alias("last"))
     return whole.where("first <= last").unionByName(partial)

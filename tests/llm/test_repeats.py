@@ -100,3 +100,21 @@ def test_merge_of_shards():
     assert want.any()
     for size in (1, 7, 64, 1000):
         assert (R.repeated_windows(rows, size) == want).all()
+
+
+def test_no_group_beyond_the_bound_in_one_task(spark, monkeypatch):
+    """One string in many different surroundings: its contexts are counted in Spark, with the same spans."""
+    monkeypatch.setattr(R, "HOT_CONTEXTS", 5)
+    largest, plain = [], R._context_groups
+
+    def watched(rows):
+        largest.append(max((r["count"] for r in rows.groupBy("g").count().collect()), default=0))
+        return plain(rows)
+    monkeypatch.setattr(R, "_context_groups", watched)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    note = text(200)
+    rows = [(i, text(170) + note + text(170)) for i in range(30)] + [(90, note + text(90)), (91, text(30) + note)]
+    got = check(spark, rows)
+    assert all(r[2] >= 200 for r in got)
+    assert largest and max(largest) <= 5
