@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import benchmark, chat, mixing, paragraphs, pii, quality, repeats, simhash, tokens, toxicity
+from shelfspark.llm import alignment, benchmark, chat, mixing, paragraphs, pii, quality, repeats, simhash, tokens, toxicity
 from shelfspark.llm.common import table
 from shelfspark.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "forums": 2}, "lang": {"en": 6, "de": 2, "fr": 2}}
 
@@ -230,6 +231,12 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents aligned token by token between two tokenizers, with corpus-wide counts of linked ids."""
+    docs = table(spark, sf, "documents")
+    return alignment.align(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)).drop("groups")
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_repeats": op2_repeats,
@@ -241,5 +248,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
 }
 ORACLE = {"op3_mixture": OP3_SQL, "op4_pii": OP4_SQL, "op6_quality": OP6_SQL}
