@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import alignment, benchmark, chat, mixing, paragraphs, pii, quality, repeats, simhash, tokens, toxicity
+from shelfspark.llm import alignment, benchmark, chat, jaccard, mixing, paragraphs, pii, quality, repeats, simhash, tokens, toxicity
 from shelfspark.llm.common import table
 from shelfspark.session import scratch_path
 
@@ -237,6 +237,27 @@ def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.align(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)).drop("groups")
 
 
+def op12_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles overlap by 90 percent."""
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS grams FROM d),
+g AS (SELECT r, len(grams) AS n, unnest(grams) AS gram FROM s),
+links AS (SELECT x.r AS a, y.r AS b FROM g x JOIN g y ON x.gram = y.gram AND x.r < y.r
+            AND 90 * greatest(x.n, y.n) <= 100 * least(x.n, y.n)
+          GROUP BY x.r, y.r, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, other) AS (SELECT r, r FROM s UNION SELECT reach.r, b FROM reach JOIN steps ON a = other)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN reach ON reach.r = s.r JOIN s o ON o.r = other GROUP BY s.r, s.doc_id, len(s.grams)
+"""
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_repeats": op2_repeats,
@@ -249,5 +270,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_jaccard": op12_jaccard,
 }
-ORACLE = {"op3_mixture": OP3_SQL, "op4_pii": OP4_SQL, "op6_quality": OP6_SQL}
+ORACLE = {"op3_mixture": OP3_SQL, "op4_pii": OP4_SQL, "op6_quality": OP6_SQL,
+          "op12_jaccard": OP12_SQL}
