@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import alignment, benchmark, chat, jaccard, mixing, paragraphs, pii, quality, repeats, simhash, tokens, toxicity
+from shelfspark.llm import alignment, benchmark, chat, jaccard, mixing, paragraphs, phrases, pii, quality, repeats, simhash, tokens, toxicity
 from shelfspark.llm.common import table
 from shelfspark.session import scratch_path
 
@@ -258,6 +258,32 @@ FROM s JOIN reach ON reach.r = s.r JOIN s o ON o.r = other GROUP BY s.r, s.doc_i
 """
 
 
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return phrases.phrases(table(spark, sf, "documents"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER_SQL}, '[.,;:!?
+-]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM d),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, key, count(*) AS f FROM (
+        SELECT lang, unnest(flatten([{", ".join(f"list_transform(range(1, len(w) - {n - 2}), lambda i: w[i:i + {n - 1}])" for n in (1, 2, 3, 4))}])) AS key FROM p)
+      GROUP BY lang, key HAVING count(*) >= 30),
+cuts AS (SELECT lang, key, f AS a, unnest(range(1, len(key))) AS k FROM f WHERE len(key) > 1),
+cut AS (SELECT cuts.*, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS score FROM cuts
+        JOIN f x ON x.lang = cuts.lang AND x.key = cuts.key[1:k] JOIN f y ON y.lang = cuts.lang AND y.key = cuts.key[k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY score, k) = 1),
+longer AS (SELECT lang, f, key[i:i + n - 1] AS key FROM f, range(1, 4) AS i(i), range(2, 4) AS n(n) WHERE n < len(key) AND i + n - 1 <= len(key)),
+covered AS (SELECT lang, key, max(f) AS over_ FROM longer GROUP BY lang, key),
+kept AS (SELECT best.lang, array_to_string(best.key, ' ') AS phrase, a, l, r, score FROM best
+         LEFT JOIN covered ON covered.lang = best.lang AND covered.key = best.key WHERE over_ IS NULL OR 100 * over_ < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_repeats": op2_repeats,
@@ -271,6 +297,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
     "op12_jaccard": op12_jaccard,
+    "op13_phrases": op13_phrases,
 }
 ORACLE = {"op3_mixture": OP3_SQL, "op4_pii": OP4_SQL, "op6_quality": OP6_SQL,
-          "op12_jaccard": OP12_SQL}
+          "op12_jaccard": OP12_SQL, "op13_phrases": OP13_SQL}
