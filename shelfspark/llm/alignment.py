@@ -37,7 +37,7 @@ RADIX = 32
 # bodies that one task reads with the counts of their partition
 SLICE_RUNS = 32
 # units a worker remembers
-CACHED_UNITS = 150_000
+CACHED_UNITS = 300_000
 # new units that are encoded in one call
 CALL_UNITS = 200
 _SAFE = "!-~À-ɏ"
@@ -111,7 +111,8 @@ class Aligner:
         links = ids_b[upto_b - 1].astype(np.uint64) << np.uint64(32) | ids_a[upto_a - 1].astype(np.uint64)
         text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
         cuts_a, cuts_b = [0, *upto_a.tolist()], [0, *upto_b.tolist()]
-        groups = [",".join(text_a[a:c]) + "|" + ",".join(text_b[b:d])
+        # most groups are one token of either side
+        groups = [text_a[a] + "|" + text_b[b] if c - a == 1 == d - b else ",".join(text_a[a:c]) + "|" + ",".join(text_b[b:d])
                   for a, c, b, d in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
         out, first = [], 0
         for last in np.searchsorted(shared, stops, "right").tolist():
@@ -158,8 +159,7 @@ class Aligner:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[Aligned, np.ndarray, np.ndarray]]:
         """(alignment, distinct links, how often each) of each text."""
-        if len(self.known) > self.cached_units:
-            self.known.clear()
+        room = self.cached_units - len(self.known)
         cut = [self.units(t) if t and self.apart else [] for t in texts]
         fresh = {u for units in cut for u in units}.difference(self.known)
         if fresh:
@@ -173,6 +173,9 @@ class Aligner:
                                  ";".join([p.text for p in parts]), np.concatenate([p.links for p in parts]))
             links, times = np.unique(all_of.links, return_counts=True)
             yield all_of, links, times
+        # of the new units those that fit stay, those met first: frequent ones come early
+        for unit in sorted(fresh, key=len)[max(room, 0):]:
+            del self.known[unit]
 
 
 _aligners: dict[tuple, Aligner] = {}

@@ -43,6 +43,8 @@ LIST_ROWS = 64
 SKIP_BLOCK = 8
 # rounds of centres; what is then still in long lists is compared pair by pair, in tasks that Spark splits
 ROUNDS = 6
+# pairs in long lists that are compared without a centre, being few
+PLAIN_PAIRS = 500_000
 # of a set's parity bitmap
 BITS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -148,7 +150,8 @@ def _sets(texts: DataFrame, classes: np.ndarray, wanted: DataFrame, gram_words:
 
     made = texts.select("text").mapInArrow(run, "id long, grams array<long>").join(sized(wanted), "id", "left_semi")
     once = made.groupBy("id").agg(F.first("grams").alias("grams"))
-    return written(once.mapInArrow(parity, "id long, grams array<long>, bits array<long>"), "sets")
+    found = once.mapInArrow(parity, "id long, grams array<long>, bits array<long>")
+    return written(found.select("id", F.size("grams").alias("n"), "bits", "grams"), "sets")
 
 
 def skipping_pairs(ids: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, s: np.ndarray, weight: np.ndarray,
@@ -180,6 +183,24 @@ def skipping_pairs(ids: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.nda
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def block_pairs(columns: list[np.ndarray], starts: np.ndarray, size: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The same pairs of many lists of one size, none longer than a block: place by place for all lists at once."""
+    half = 2 * _weights(percent)[1]
+    ids, root, n, pos, s, weight = columns
+    left, right = [], []
+    for i in range(size):
+        for j in range(i + 1, size):
+            x, y = starts + i, starts + j
+            fits = ((half * np.minimum(s[x] - pos[x], s[y] - pos[y]) >= weight[x] + weight[y]) & (root[x] != root[y])
+                    & (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])))
+            left.append(ids[x[fits]])
+            right.append(ids[y[fits]])
+    if not left:
+        return ids[:0], ids[:0]
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _list_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) of lists(members)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +209,10 @@ def _list_pairs(lists: DataFrame, percent: int) -> DataFrame:
             names = ["id", "root", "n", "pos", "s", "weight"]
             flat = [column.flatten().field(name).to_numpy().astype(np.int64) for name in names]
             offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-            made = [skipping_pairs(*[f[i:j] for f in flat], percent=percent) for i, j in zip(offsets[:-1], offsets[1:])]
+            sizes = np.diff(offsets)
+            made = [block_pairs(flat, offsets[:-1][sizes == size], size, percent) for size in np.unique(sizes[sizes <= SKIP_BLOCK]).tolist()]
+            made += [skipping_pairs(*[f[i:i + n] for f in flat], percent=percent)
+                     for i, n in zip(offsets[:-1][sizes > SKIP_BLOCK].tolist(), sizes[sizes > SKIP_BLOCK].tolist())]
             a, b = (np.concatenate([m[k] for m in made]) if made else np.empty(0, np.int64) for k in range(2))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -206,15 +230,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    # only the sets of these pairs move
+    needed = sized(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    some = sets.select("id", "grams").join(needed, "id", "left_semi")
+    x = some.select(F.col("id").alias("a"), F.col("grams").alias("x"))
+    y = some.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that parities do not rule out: two sets differ in at least as many grams as bits."""
-    x = sets.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.size("grams").alias("n"))
-    y = sets.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.size("grams").alias("m"))
+    x = sets.select(F.col("id").alias("a"), F.col("bits").alias("x"), "n")
+    y = sets.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda done, k: done + k)
     both = F.col("n") + F.col("m")
     return pairs.join(x, "a").join(y, "b").where((both - differ) * (100 + percent) >= 2 * percent * both).select("a", "b")
@@ -231,9 +258,11 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the pairs, as many as their components need: each set's smallest partner first, then pairs still apart."""
     near = written(_near_enough(pairs, sets, percent), "near-pairs")
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    if near.isEmpty():
+        return near
+    first = written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
     stars = written(_verified(first, sets, percent), "stars")
-    rest = _apart(near.join(first, ["a", "b"], "left_anti"), components(stars))
+    rest = written(_apart(near.join(first, ["a", "b"], "left_anti"), components(stars)), "rest")
     return written(stars.unionByName(_verified(rest, sets, percent)), "links")
 
 
@@ -308,7 +337,8 @@ def _plain_pairs(long: DataFrame, percent: int) -> DataFrame:
     return x.join(y, ["cell", "tok"]).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_words: int, percent: int, list_rows: int, rounds: int) -> DataFrame:
+def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_words: int, percent: int, list_rows: int, rounds: int,
+           plain_pairs: int) -> DataFrame:
     """(id, root) of all linked vertices(id, n, prefix)."""
     unit, half = _weights(percent)
     postings = vertices.select(F.lit(0).cast("long").alias("cell"), "id", F.col("id").alias("root"), "n",
@@ -318,13 +348,13 @@ def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_word
     pairs = written(_list_pairs(lists, percent), "pairs")
     wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long.select("id")).distinct(), "wanted")
     sets = _sets(texts, classes, wanted, gram_words)
-    held = sets.select(F.lit(0).cast("long").alias("cell"), "id", F.size("grams").alias("n"),
-                       (F.size("grams").cast("long") * unit).alias("weight"), "grams")
+    held = sets.select(F.lit(0).cast("long").alias("cell"), "id", "n", (F.col("n").cast("long") * unit).alias("weight"), "grams")
     found = _links_of(pairs, sets, percent)
     for left in range(rounds, -1, -1):
-        if long.isEmpty():
+        size = long.groupBy("cell", "tok").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()["pairs"]
+        if not size:
             break
-        if left == 0:
+        if left == 0 or size <= plain_pairs:
             pairs = written(_plain_pairs(long, percent), "pairs")
             found = found.unionByName(_links_of(pairs, sets, percent))
             break
@@ -344,7 +374,7 @@ def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_word
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS,
-                       percent: int = PERCENT, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> DataFrame:
+                       percent: int = PERCENT, list_rows: int = LIST_ROWS, rounds: int = ROUNDS, plain_pairs: int = PLAIN_PAIRS) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `docs`.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased.  component_id is the smallest doc_id that links reach, its own
@@ -358,7 +388,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = _prefixes(texts, classes, gram_words, percent)
     vertices = written(rows.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"),
                                                              F.min("doc_id").alias("low")), "vertices")
-    roots = _links(texts, vertices, classes, gram_words, percent, list_rows, rounds)
+    roots = _links(texts, vertices, classes, gram_words, percent, list_rows, rounds, plain_pairs)
     low = vertices.select("id", "low")
     # one row per linked set; a component's smallest id is a sum of few rows per task
     linked = written(roots.join(low, "id"), "linked")
