@@ -139,7 +139,7 @@ def search_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return shown.join(totals, "query_id")
 
 
-def _prefixes(spark: SparkSession, sf: str) -> DataFrame:
+def prefixes(spark: SparkSession, sf: str) -> DataFrame:
     """What users typed: the first letters of a word of each part's name."""
     word = F.get(F.split("p_name", " "), F.pmod("p_size", F.lit(2)))
     length = F.pmod(F.col("p_size"), F.lit(4)) + 1
@@ -147,7 +147,7 @@ def _prefixes(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").alias("query_id"), F.substring(word, F.lit(1), length).alias("text"))
 
 
-def _typos(spark: SparkSession, sf: str) -> DataFrame:
+def typos(spark: SparkSession, sf: str) -> DataFrame:
     """Typed words with a letter swapped, left out, replaced or put in."""
     word = F.get(F.split("p_name", " "), F.lit(1))
     start = F.substring(word, 1, 1)
@@ -162,12 +162,12 @@ def _typos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suggest_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return suggest.suggest_prefix(_prefixes(spark, sf), suggest.completions(suggest_docs(spark, sf)))
+    return suggest.suggest_prefix(prefixes(spark, sf), suggest.completions(suggest_docs(spark, sf)))
 
 
 def suggest_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     words, size = suggest.completions(suggest_docs(spark, sf))
-    return suggest.suggest_fuzzy(_typos(spark, sf), suggest.Completions(materialize(words), size))
+    return suggest.suggest_fuzzy(typos(spark, sf), suggest.Completions(materialize(words), size))
 
 
 def suggest_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +201,7 @@ _TOKENS_SQL = f"""SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens,
     coalesce(array_to_string({_TOKENS.format('text')}, ' '), '') AS tokens FROM documents"""
 _DISTINCT_LONG = "list_filter({0}, lambda x, i: length(x) > 1 AND list_position({0}, x) = i)"
 
-_SUGGEST_SQL = f"""
+SUGGEST_SQL = f"""
 part_words AS (SELECT p_partkey AS doc_id, p_name AS title, {_TOKENS.format('p_name')} AS a0,
                       {_TOKENS.format("p_type || ' ' || p_name")} AS b0 FROM part),
 part_inputs AS (SELECT doc_id, title, {_DISTINCT_LONG.format('a0')} AS a,
@@ -213,7 +213,7 @@ inputs AS (SELECT doc_id, title, 10 AS weight, unnest(a) AS word FROM part_input
 _QUERIES_SQL = "queries AS (SELECT item_id AS query_id, text, 1 AS page FROM benchmark)"
 
 
-def _ranked_sql(fields: tuple[str, ...], size: int = 10, queries: str = _QUERIES_SQL) -> str:
+def ranked_sql(fields: tuple[str, ...], size: int = 10, queries: str = _QUERIES_SQL) -> str:
     names = ", ".join(f"'{f}'" for f in fields)
     return f"""{BOOK_DOCS_SQL}, {queries},
 qterm AS (SELECT query_id, term, count(*) AS qtf FROM (
@@ -247,7 +247,7 @@ def _marked(column: str) -> str:
         THEN '{search.PRE_TAG}' || x || '{search.POST_TAG}' ELSE x END), ''), '')"""
 
 
-_PREFIX_SQL = f"""WITH {_SUGGEST_SQL},
+PREFIX_SQL = f"""WITH {SUGGEST_SQL},
 typed AS (SELECT p_partkey AS query_id,
                  substring(string_split(p_name, ' ')[1 + p_size % 2], 1, p_size % 4 + 1) AS text FROM part),
 found AS (SELECT text, doc_id, title, max(weight) AS weight FROM (SELECT DISTINCT text FROM typed) t
@@ -262,12 +262,27 @@ _TYPED = sql_case_of(
     f"{_WORD}[1] || substring({_WORD}, 3, 20)", f"substring({_WORD}, 1, 2) || 'x' || {_WORD}[4]",
     f"substring({_WORD}, 1, 3) || 'q' || {_WORD}[4]", f"substring({_WORD}, 1, 2)", _WORD)
 
+FUZZY_SQL = f"""WITH {SUGGEST_SQL},
+        typed AS (SELECT p_partkey AS query_id, {_TYPED} AS text FROM part),
+        texts AS (SELECT DISTINCT text FROM typed),
+        starts AS (SELECT DISTINCT word, substring(word, 1, n) AS prefix FROM (
+            SELECT word, unnest(range(1, length(word) + 1)) AS n FROM (SELECT DISTINCT word FROM inputs))),
+        near AS (SELECT text, word, min(CASE WHEN text = prefix THEN 0 ELSE 1 END) AS distance
+            FROM texts JOIN starts ON text = prefix OR (length(text) >= 3 AND text[1] = prefix[1]
+                 AND damerau_levenshtein(text[2:], prefix[2:]) = 1) GROUP BY text, word),
+        found AS (SELECT text, doc_id, title, weight, distance FROM near JOIN inputs USING (word)
+            QUALIFY row_number() OVER (PARTITION BY text, doc_id ORDER BY weight DESC, distance) = 1),
+        best AS (SELECT *, CAST(row_number() OVER (
+                     PARTITION BY text ORDER BY weight DESC, distance, title, doc_id) AS INTEGER) AS rank
+                 FROM found QUALIFY rank <= 10)
+        SELECT query_id, rank, doc_id, title, weight, distance FROM typed JOIN best USING (text)"""
+
 ORACLE = {
     "analyze_fine": _TOKENS_SQL,
     "analyze_coarse": _TOKENS_SQL,
     "filter_tokens": f"""WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS k FROM documents)
         SELECT doc_id, coalesce(array_to_string({_DISTINCT_LONG.format('k')}, ' '), '') AS words FROM t""",
-    "gen_suggests": f"""WITH {_SUGGEST_SQL}
+    "gen_suggests": f"""WITH {SUGGEST_SQL}
         SELECT doc_id, array_to_string(list_filter([
             CASE WHEN len(a) > 0 THEN array_to_string(a, ' ') || ':10' END,
             CASE WHEN len(b) > 0 THEN array_to_string(b, ' ') || ':7' END], lambda x: x IS NOT NULL), '|')
@@ -275,44 +290,31 @@ ORACLE = {
     "index_postings": f"WITH {BOOK_DOCS_SQL} SELECT field, term, doc_id, tf, dl FROM post",
     "index_stats": f"WITH {BOOK_DOCS_SQL} SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM fstat",
     "term_stats": f"WITH {BOOK_DOCS_SQL} SELECT field, term, df, total_tf FROM tstat",
-    "search_title": f"WITH {_ranked_sql(TITLE)} {_HITS_SQL}",
-    "search_best_fields": f"WITH {_ranked_sql(ALL_FIELDS)} {_HITS_SQL}",
-    "search_page": "WITH " + _ranked_sql(ALL_FIELDS, queries=f"""queries AS (
+    "search_title": f"WITH {ranked_sql(TITLE)} {_HITS_SQL}",
+    "search_best_fields": f"WITH {ranked_sql(ALL_FIELDS)} {_HITS_SQL}",
+    "search_page": "WITH " + ranked_sql(ALL_FIELDS, queries=f"""queries AS (
         SELECT item_id AS query_id, text, {sql_case_of("item_id", "1", "2", "1", "5")} AS page FROM benchmark)""")
         + " SELECT * FROM hits",
-    "search_totals": f"""WITH {_ranked_sql(ALL_FIELDS)},
+    "search_totals": f"""WITH {ranked_sql(ALL_FIELDS)},
         n AS (SELECT query_id, count(*) AS total FROM scored GROUP BY query_id)
         SELECT query_id, coalesce(total, 0) AS total, CAST(ceil(coalesce(total, 0) / 10.0) AS BIGINT) AS pages
         FROM queries LEFT JOIN n USING (query_id)""",
-    "search_batch": "WITH " + _ranked_sql(("title", "tag"), 3, """queries AS (
+    "search_batch": "WITH " + ranked_sql(("title", "tag"), 3, """queries AS (
         SELECT doc_id AS query_id, title AS text, 1 AS page FROM d)""") + _HITS_SQL.join((" ", "")),
-    "search_pruned": f"WITH {_ranked_sql(ALL_FIELDS)} {_HITS_SQL}",
-    "highlight": f"""WITH {_ranked_sql(TITLE)}, {_WORDS_SQL}
+    "search_pruned": f"WITH {ranked_sql(ALL_FIELDS)} {_HITS_SQL}",
+    "highlight": f"""WITH {ranked_sql(TITLE)}, {_WORDS_SQL}
         SELECT query_id, rank, doc_id, {_marked('title')} AS title
         FROM hits JOIN d USING (doc_id) JOIN words USING (query_id)""",
-    "search_hits": f"""WITH {_ranked_sql(ALL_FIELDS)}, {_WORDS_SQL}
+    "search_hits": f"""WITH {ranked_sql(ALL_FIELDS)}, {_WORDS_SQL}
         SELECT query_id, rank, doc_id, score, {_marked('title')} AS title, substring({_marked('tag')}, 1, 500) AS tag,
                url, source_website, split_part(upload_time, 'T', 1) AS upload_time
         FROM hits JOIN d USING (doc_id) JOIN words USING (query_id)""",
-    "search_catalog": f"""WITH {_ranked_sql(ALL_FIELDS).replace(BOOK_DOCS_SQL, _CATALOG_DOCS_SQL)}, {_WORDS_SQL},
+    "search_catalog": f"""WITH {ranked_sql(ALL_FIELDS).replace(BOOK_DOCS_SQL, _CATALOG_DOCS_SQL)}, {_WORDS_SQL},
         n AS (SELECT query_id, count(*) AS total FROM scored GROUP BY query_id)
         SELECT query_id, rank, doc_id, score, {_marked('title')} AS title, total
         FROM hits JOIN d USING (doc_id) JOIN words USING (query_id) JOIN n USING (query_id)""",
-    "suggest_prefix": f"{_PREFIX_SQL} SELECT * FROM listed",
-    "suggest_fuzzy": f"""WITH {_SUGGEST_SQL},
-        typed AS (SELECT p_partkey AS query_id, {_TYPED} AS text FROM part),
-        texts AS (SELECT DISTINCT text FROM typed),
-        starts AS (SELECT DISTINCT word, substring(word, 1, n) AS prefix FROM (
-            SELECT word, unnest(range(1, length(word) + 1)) AS n FROM (SELECT DISTINCT word FROM inputs))),
-        near AS (SELECT text, word, min(CASE WHEN text = prefix THEN 0 ELSE 1 END) AS distance
-            FROM texts JOIN starts ON text = prefix OR (length(text) >= 3 AND text[1] = prefix[1]
-                 AND damerau_levenshtein(text[2:], prefix[2:]) = 1) GROUP BY text, word),
-        found AS (SELECT text, doc_id, title, weight, distance FROM near JOIN inputs USING (word)
-            QUALIFY row_number() OVER (PARTITION BY text, doc_id ORDER BY weight DESC, distance) = 1),
-        best AS (SELECT *, CAST(row_number() OVER (
-                     PARTITION BY text ORDER BY weight DESC, distance, title, doc_id) AS INTEGER) AS rank
-                 FROM found QUALIFY rank <= 10)
-        SELECT query_id, rank, doc_id, title, weight, distance FROM typed JOIN best USING (text)""",
-    "suggest_json": f"""{_PREFIX_SQL}
+    "suggest_prefix": f"{PREFIX_SQL} SELECT * FROM listed",
+    "suggest_fuzzy": FUZZY_SQL,
+    "suggest_json": f"""{PREFIX_SQL}
         SELECT query_id, CAST(to_json(list(title ORDER BY rank)) AS VARCHAR) AS titles FROM listed GROUP BY query_id""",
 }
