@@ -118,40 +118,48 @@ def _list(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """BITS parities of a set: two sets differ in at least as many grams as parities."""
+    counts = np.bincount((grams & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
 def _prefixes(texts: DataFrame, classes: np.ndarray, gram_words: int, percent: int) -> DataFrame:
-    """(doc_id, n, id, prefix): the size of each set, its hash, and its first grams that can be the first of a common part."""
+    """(doc_id, n, id, prefix, bits): the size of each set, its hash, its first grams that can be the first of a common part, parities."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ids, kept = [], [], []
+        for batch in _slices(batches):
+            n, ids, kept, bits = [], [], [], []
             for grams in gram_sets(_texts(batch, 1), gram_words):
                 grams = _ordered(grams, classes)
                 n.append(len(grams))
                 ids.append(_set_id(grams))
                 # |common| >= percent / 100 * n, whatever the other's size
                 kept.append(grams[:len(grams) - -(-percent * len(grams) // 100) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), _list(kept)],
-                                             ["doc_id", "n", "id", "prefix"])
+                bits.append(_parities(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), _list(kept), _list(bits)],
+                                             ["doc_id", "n", "id", "prefix", "bits"])
 
-    return written(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, id long, prefix array<long>"), "set-prefixes")
+    return written(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, id long, prefix array<long>, bits array<long>"),
+                   "set-prefixes")
 
 
 def _sets(texts: DataFrame, classes: np.ndarray, wanted: DataFrame, gram_words: int) -> DataFrame:
-    """(id, grams, bits): the whole sets of the wanted ids, and 512 parities of them."""
+    """(id, n, grams): the whole sets of wanted(id, low), from the rows that have the id's smallest doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [_ordered(grams, classes) for grams in gram_sets(_texts(batch, 0), gram_words)]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(m) for m in made], pa.int64()), _list(made)], ["id", "grams"])
-
-    def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(np.bincount(np.asarray(g.values.to_numpy()) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1,
-                                bitorder="little").view(np.uint64) for g in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _list(bits)], ["id", "grams", "bits"])
+        for batch in _slices(batches):
+            made = [_ordered(grams, classes) for grams in gram_sets(_texts(batch, 1), gram_words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_id(m) for m in made], pa.int64()), _list(made)], ["doc_id", "id", "grams"])
 
-    made = texts.select("text").mapInArrow(run, "id long, grams array<long>").join(sized(wanted), "id", "left_semi")
+    made = (texts.select("doc_id", "text").mapInArrow(run, "doc_id long, id long, grams array<long>")
+            .join(sized(wanted), "id").where("doc_id <=> low"))
     once = made.groupBy("id").agg(F.first("grams").alias("grams"))
-    found = once.mapInArrow(parity, "id long, grams array<long>, bits array<long>")
-    return written(found.select("id", F.size("grams").alias("n"), "bits", "grams"), "sets")
+    return written(once.select("id", F.size("grams").alias("n"), "grams"), "sets")
 
 
 def skipping_pairs(ids: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, s: np.ndarray, weight: np.ndarray,
@@ -238,10 +246,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that parities do not rule out: two sets differ in at least as many grams as bits."""
-    x = sets.select(F.col("id").alias("a"), F.col("bits").alias("x"), "n")
-    y = sets.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+def _near_enough(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The pairs that parities do not rule out."""
+    x = vertices.select(F.col("id").alias("a"), F.col("bits").alias("x"), "n")
+    y = vertices.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda done, k: done + k)
     both = F.col("n") + F.col("m")
     return pairs.join(x, "a").join(y, "b").where((both - differ) * (100 + percent) >= 2 * percent * both).select("a", "b")
@@ -255,9 +263,8 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
 
 
-def _links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_of(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the pairs, as many as their components need: each set's smallest partner first, then pairs still apart."""
-    near = written(_near_enough(pairs, sets, percent), "near-pairs")
     if near.isEmpty():
         return near
     first = written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
@@ -339,14 +346,15 @@ def _plain_pairs(long: DataFrame, percent: int) -> DataFrame:
 
 def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_words: int, percent: int, list_rows: int, rounds: int,
            plain_pairs: int) -> DataFrame:
-    """(id, root) of all linked vertices(id, n, prefix)."""
+    """(id, root) of all linked vertices(id, n, prefix, bits, low)."""
     unit, half = _weights(percent)
     postings = vertices.select(F.lit(0).cast("long").alias("cell"), "id", F.col("id").alias("root"), "n",
                                F.posexplode("prefix").alias("pos", "tok"), F.col("n").alias("s"),
                                (F.col("n").cast("long") * unit).alias("weight"))
     lists, long = _round(postings, percent, list_rows)
-    pairs = written(_list_pairs(lists, percent), "pairs")
-    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long.select("id")).distinct(), "wanted")
+    pairs = written(_near_enough(_list_pairs(lists, percent), vertices, percent), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long.select("id")).distinct()
+    wanted = written(vertices.select("id", "low").join(ids, "id", "left_semi"), "wanted")
     sets = _sets(texts, classes, wanted, gram_words)
     held = sets.select(F.lit(0).cast("long").alias("cell"), "id", "n", (F.col("n").cast("long") * unit).alias("weight"), "grams")
     found = _links_of(pairs, sets, percent)
@@ -355,7 +363,7 @@ def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_word
         if not size:
             break
         if left == 0 or size <= plain_pairs:
-            pairs = written(_plain_pairs(long, percent), "pairs")
+            pairs = written(_near_enough(_plain_pairs(long, percent), vertices, percent), "pairs")
             found = found.unionByName(_links_of(pairs, sets, percent))
             break
         seen = _differences(written(long.select("cell", "centre", "id").distinct(), "long"), held, half)
@@ -368,7 +376,7 @@ def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_word
         held = written(placed.join(sized(open_cells), "cell", "left_semi").select("cell", "id", "root", "n", "weight", "grams"), "held")
         postings, near = _indexed(held, half)
         lists, long = _round(postings, percent, list_rows)
-        pairs = written(_list_pairs(lists, percent), "pairs")
+        pairs = written(_near_enough(_list_pairs(lists, percent), vertices, percent), "pairs")
         found = written(found.unionByName(near).unionByName(_links_of(pairs, sets, percent)), "links")
     return components(found)
 
@@ -387,7 +395,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = common_counters(texts, gram_words)
     rows = _prefixes(texts, classes, gram_words, percent)
     vertices = written(rows.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-                                                             F.min("doc_id").alias("low")), "vertices")
+                                                             F.first("bits").alias("bits"), F.min("doc_id").alias("low")), "vertices")
     roots = _links(texts, vertices, classes, gram_words, percent, list_rows, rounds, plain_pairs)
     low = vertices.select("id", "low")
     # one row per linked set; a component's smallest id is a sum of few rows per task
