@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import components, text_or_empty, written
 from shelfspark.llm.paragraphs import _word_hashes
 from shelfspark.llm.repeats import _mixed
+from shelfspark.llm.runs import pack, unpack
 from shelfspark.session import sized
 
 GRAM_WORDS = 3
 PERCENT = 90
 # counters that tell common grams; a fixed number whatever the corpus
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+SLICES = 64
 # members of a list beyond which answers are derived from a centre
 LIST_ROWS = 64
 # entries of a list that are skipped together
@@ -80,23 +82,41 @@ def _texts(batch: pa.RecordBatch, at: int) -> list[bytes]:
 
 
 def common_counters(texts: DataFrame, gram_words: int = GRAM_WORDS) -> np.ndarray:
-    """For each counter a class: 0, or the binary logarithm of how many sets have its grams where that is far above the others.
+    """For each counter a class: 0, or the binary logarithm of how many sets have its grams where that is far above the mean.
 
-    Every gram of every text is counted.  A task hands on the counters that stand out in it; these rows are at most COUNTERS after
-    their sum, a fixed number.  The classes only choose the order of grams, no result hangs on them.
+    Every gram of every text is counted.  A task hands its counters on in SLICES packed rows, which are added up in two steps of
+    bounded groups; their sum is COUNTERS numbers whatever the input.  The classes only choose the order of grams, no result hangs on them.
     """
+    width = COUNTERS // SLICES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        from pyspark import TaskContext
+
+        counts = np.zeros(COUNTERS, np.uint32)
+        for batch in _slices(batches):
             for grams in gram_sets(_texts(batch, 0), gram_words):
                 np.add.at(counts, (grams & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        mean = counts.mean()
-        at = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 4)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
-
+        packed = [pack([counts[at:at + width]], width) for at in range(0, COUNTERS, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([TaskContext.get().partitionId() % SLICES] * SLICES, pa.int64()),
+                                          pa.array(packed, pa.binary())], ["slice", "part", "data"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint64)
+        for data in table.column("data"):
+            total += unpack(data.as_py())[0]
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([0], pa.int64()), "data": pa.array([pack([total], width)], pa.binary())})
+
+    schema = "slice long, part long, data binary"
+    found = texts.select("text").mapInArrow(run, schema)
+    for keys in (["slice", "part"], ["slice"]):
+        found = found.groupBy(*keys).applyInArrow(add, schema)
+    counts = np.zeros(COUNTERS, np.float64)
+    for row in found.collect():
+        counts[row["slice"] * width:(row["slice"] + 1) * width] = unpack(bytes(row["data"]))[0]
+    mean = counts.mean()
+    common = counts > mean + 6 * np.sqrt(mean) + 4
     classes = np.zeros(COUNTERS, np.uint8)
-    found = texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    classes[found["at"].to_numpy(np.int64)] = np.minimum(np.log2(found["n"].to_numpy(np.float64)), (1 << _CLASS_BITS) - 1).astype(np.uint8)
+    classes[common] = np.minimum(np.log2(counts[common]), (1 << _CLASS_BITS) - 1).astype(np.uint8)
     return classes
 
 
@@ -150,16 +170,33 @@ def _prefixes(texts: DataFrame, classes: np.ndarray, gram_words: int, percent: i
 
 
 def _sets(texts: DataFrame, classes: np.ndarray, wanted: DataFrame, gram_words: int) -> DataFrame:
-    """(id, n, grams): the whole sets of wanted(id, low), from the rows that have the id's smallest doc_id."""
+    """(id, n, grams): the texts of wanted(id, low, n), from the rows that have the id's smallest doc_id.
+
+    A set travels as its text, which is smaller than its hashes, and is hashed where two sets meet.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            made = [_ordered(grams, classes) for grams in gram_sets(_texts(batch, 1), gram_words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_id(m) for m in made], pa.int64()), _list(made)], ["doc_id", "id", "grams"])
+            made = [_set_id(_ordered(grams, classes)) for grams in gram_sets(_texts(batch, 1), gram_words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), batch.column(1)], ["doc_id", "id", "grams"])
 
-    made = (texts.select("doc_id", "text").mapInArrow(run, "doc_id long, id long, grams array<long>")
+    made = (texts.select("doc_id", "text").mapInArrow(run, "doc_id long, id long, grams string")
             .join(sized(wanted), "id").where("doc_id <=> low"))
-    once = made.groupBy("id").agg(F.first("grams").alias("grams"))
-    return written(once.select("id", F.size("grams").alias("n"), "grams"), "sets")
+    return written(made.groupBy("id").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "sets")
+
+
+def _grams_of(column: pa.Array, gram_words: int) -> Iterator[np.ndarray]:
+    """The sets of a column of texts or of lists of grams; neighbours that are the same text are hashed once."""
+    if not pa.types.is_string(column.type):
+        for value in column:
+            yield value.values.to_numpy().view(np.uint64)
+        return
+    texts = column.to_pylist()
+    fresh = [at for at, text in enumerate(texts) if at == 0 or text != texts[at - 1]]
+    made = gram_sets([texts[at].encode("utf-8", "surrogatepass").lower() for at in fresh], gram_words)
+    for first, last in zip(fresh, [*fresh[1:], len(texts)]):
+        grams = next(made)
+        for _ in range(first, last):
+            yield grams
 
 
 def skipping_pairs(ids: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, s: np.ndarray, weight: np.ndarray,
@@ -227,13 +264,12 @@ def _list_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return lists.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, gram_words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+            for x, y in zip(_grams_of(batch.column(2), gram_words), _grams_of(batch.column(3), gram_words)):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -243,7 +279,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     some = sets.select("id", "grams").join(needed, "id", "left_semi")
     x = some.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     y = some.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _near_enough(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
@@ -263,28 +299,27 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
 
 
-def _links_of(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_of(near: DataFrame, sets: DataFrame, gram_words: int, percent: int) -> DataFrame:
     """Links among the pairs, as many as their components need: each set's smallest partner first, then pairs still apart."""
     if near.isEmpty():
         return near
     first = written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    stars = written(_verified(first, sets, percent), "stars")
+    stars = written(_verified(first, sets, gram_words, percent), "stars")
     rest = written(_apart(near.join(first, ["a", "b"], "left_anti"), components(stars)), "rest")
-    return written(stars.unionByName(_verified(rest, sets, percent)), "links")
+    return written(stars.unionByName(_verified(rest, sets, gram_words, percent)), "links")
 
 
-def _differences(long: DataFrame, held: DataFrame, half: int) -> DataFrame:
+def _differences(long: DataFrame, held: DataFrame, half: int, gram_words: int) -> DataFrame:
     """long(cell, centre, id) -> (cell, centre, id, n, weight, common, link, grams): each member seen from its centre.
 
     held(cell, id, n, weight, grams) are the members of the round; the new cell is named by the old and the centre.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             weight, link, made = [], [], []
             old = batch.column(4).to_numpy()
             of_centre = batch.column(5).to_numpy()
-            for at, (y, x) in enumerate(zip(batch.column(6), batch.column(7))):
-                y, x = y.values.to_numpy(), x.values.to_numpy()
+            for at, (y, x) in enumerate(zip(_grams_of(batch.column(6), gram_words), _grams_of(batch.column(7), gram_words))):
                 differs = np.setxor1d(y, x, assume_unique=True)
                 # |x| + |y| - 2 * common = differs
                 common = (len(x) + len(y) - len(differs)) // 2
@@ -325,13 +360,17 @@ def _indexed(members: DataFrame, half: int) -> tuple[DataFrame, DataFrame]:
 
 def _round(postings: DataFrame, percent: int, list_rows: int) -> tuple[DataFrame, DataFrame]:
     """(lists, long): lists(members) of up to `list_rows` sets, and long(cell, centre, id) of longer ones; only lists that touch two components."""
-    sizes = (postings.groupBy("cell", "tok").agg(F.count("*").alias("many"), F.min("id").alias("centre"),
-                                                 F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = (postings.groupBy("cell", "tok").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
              .where("many > 1 and low < high").drop("low", "high"))
     shared = written(postings.join(sizes, ["cell", "tok"]), "lists")
     lists = (shared.where(F.col("many") <= list_rows).groupBy("cell", "tok")
              .agg(F.collect_list(F.struct("id", "root", "n", "pos", "s", "weight")).alias("members")))
-    return lists, shared.where(F.col("many") > list_rows).select("cell", "tok", "centre", "id", "root", "n", "pos", "s", "weight")
+    long = shared.where(F.col("many") > list_rows).drop("many")
+    # a set that stands in most of the long lists is the centre of them, so that a member has few centres
+    often = long.groupBy("cell", "id").agg(F.count("*").alias("often"))
+    centres = (long.join(often, ["cell", "id"]).groupBy("cell", "tok")
+               .agg(F.max(F.struct("often", "id")).alias("best")).select("cell", "tok", F.col("best.id").alias("centre")))
+    return lists, written(long.join(sized(centres), ["cell", "tok"]), "long")
 
 
 def _plain_pairs(long: DataFrame, percent: int) -> DataFrame:
@@ -354,19 +393,19 @@ def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_word
     lists, long = _round(postings, percent, list_rows)
     pairs = written(_near_enough(_list_pairs(lists, percent), vertices, percent), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long.select("id")).distinct()
-    wanted = written(vertices.select("id", "low").join(ids, "id", "left_semi"), "wanted")
+    wanted = written(vertices.select("id", "low", "n").join(ids, "id", "left_semi"), "wanted")
     sets = _sets(texts, classes, wanted, gram_words)
     held = sets.select(F.lit(0).cast("long").alias("cell"), "id", "n", (F.col("n").cast("long") * unit).alias("weight"), "grams")
-    found = _links_of(pairs, sets, percent)
+    found = _links_of(pairs, sets, gram_words, percent)
     for left in range(rounds, -1, -1):
         size = long.groupBy("cell", "tok").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()["pairs"]
         if not size:
             break
         if left == 0 or size <= plain_pairs:
             pairs = written(_near_enough(_plain_pairs(long, percent), vertices, percent), "pairs")
-            found = found.unionByName(_links_of(pairs, sets, percent))
+            found = found.unionByName(_links_of(pairs, sets, gram_words, percent))
             break
-        seen = _differences(written(long.select("cell", "centre", "id").distinct(), "long"), held, half)
+        seen = _differences(written(long.select("cell", "centre", "id").distinct(), "members-of-centres"), held, half, gram_words)
         near = seen.where("link and id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
         found = written(found.unionByName(near), "links")
         roots = components(found)
@@ -377,7 +416,7 @@ def _links(texts: DataFrame, vertices: DataFrame, classes: np.ndarray, gram_word
         postings, near = _indexed(held, half)
         lists, long = _round(postings, percent, list_rows)
         pairs = written(_near_enough(_list_pairs(lists, percent), vertices, percent), "pairs")
-        found = written(found.unionByName(near).unionByName(_links_of(pairs, sets, percent)), "links")
+        found = written(found.unionByName(near).unionByName(_links_of(pairs, sets, gram_words, percent)), "links")
     return components(found)
 
 
