@@ -103,25 +103,31 @@ def _batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-def fan_out(records: DataFrame, documents: DataFrame, spec: SourceSpec, batch_id: int,
-            root: str, seq: str = "seq") -> None:
-    """Write one batch to the index sink, then to the table sink.
+def sink_rows(records: DataFrame, documents: DataFrame, spec: SourceSpec, seq: str = "seq") -> dict[str, DataFrame]:
+    """What the index, table and reject sinks get of one batch.
 
     `documents` carries the catalogue row of each record under `doc_id`. A
     record without an id is refused by the index and reaches neither sink; one
     that breaks a table rule stays in the index and is kept with its fault.
-    Each sink writes the folder of its batch anew, so a batch that runs again
-    after a failure leaves the same files.
     """
     conformed = conform(records, spec.rules, keep=[seq])
     has_id = F.col(spec.key).isNotNull()
-    writes = (
-        ("index", documents.filter(F.col("doc_id").isNotNull())),
-        ("table", accepted(conformed.filter(has_id))),
-        ("rejects", rejected(conformed).withColumn(
-            "sink", F.when(has_id, F.lit("table")).otherwise(F.lit("index")))),
-    )
-    for sink, rows in writes:
+    return {
+        "index": documents.filter(F.col("doc_id").isNotNull()),
+        "table": accepted(conformed.filter(has_id)),
+        "rejects": rejected(conformed).withColumn(
+            "sink", F.when(has_id, F.lit("table")).otherwise(F.lit("index"))),
+    }
+
+
+def fan_out(records: DataFrame, documents: DataFrame, spec: SourceSpec, batch_id: int,
+            root: str, seq: str = "seq") -> None:
+    """Write one batch to the index sink, then to the table sink.
+
+    Each sink writes the folder of its batch anew, so a batch that runs again
+    after a failure leaves the same files.
+    """
+    for sink, rows in sink_rows(records, documents, spec, seq).items():
         rows.write.mode("overwrite").parquet(_batch_path(f"{root}/{spec.site}/{sink}", batch_id))
 
 

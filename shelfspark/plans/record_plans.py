@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text, urls
-from shelfspark.operators import tables
+from shelfspark.operators import keyed, tables
 from shelfspark.operators.catalog import catalog_union, to_catalog
 from shelfspark.operators.extract import site_fields
 from shelfspark.operators.records import BUILDERS
@@ -266,6 +266,43 @@ def fanout_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tables.union_all(counts)
 
 
+def compact_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The users' records after their versions came in four batches, compacted after two and read over two more."""
+    rows = _versions(spark, sf).select(
+        "url_obj_id", "seq", "title", F.col("n").alias("read_num"), F.col("crawl_time").alias("upload_time"),
+        "crawl_time", "url", F.lit("site").alias("source_website"), F.lit("pdf").alias("type"),
+        F.concat(_str("crawl_time"), F.lit(" KB")).alias("size"), "tag", F.col("tag").alias("description"))
+    spec, root = SOURCES["pipipan"], scratch_path(spark, "keyed")
+    sink = keyed.Sink("table", spec.key, keyed.upserted(spec), 8)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    part = F.expr(f"(seq - {low or 0}) * 4 DIV {(high or 0) - (low or 0) + 1}")
+    for batch in range(4):
+        keyed.commit(spark, root, batch, {sink: rows.filter(part == batch)})
+        if batch == 1:
+            keyed.compact(spark, root, [sink])
+    return keyed.read(spark, root, sink)
+
+
+def fanout_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Index and table of a site after its pages came in three batches, each visible in both sinks at once."""
+    spec, root = SOURCES["ishare"], scratch_path(spark, "fanout")
+    sinks = keyed.site_sinks(spec, 8)
+    records = site_records(spark, sf, spec.site).withColumnRenamed("page_id", "seq").persist()
+    low, high = records.agg(F.min("seq"), F.max("seq")).first()
+    part = F.expr(f"(seq - {low or 0}) * 3 DIV {(high or 0) - (low or 0) + 1}")
+    for batch in range(3):
+        some = records.filter(part == batch)
+        rows = tables.sink_rows(some, to_catalog(some, spec.site, keep=("seq",)), spec)
+        keyed.commit(spark, root, batch, {sink: rows[sink.name] for sink in sinks})
+    records.unpersist()
+    keyed.compact(spark, root, sinks)
+    index, table_, rejects = (keyed.read(spark, root, sink) for sink in sinks)
+    return tables.union_all([
+        index.select(F.lit("index").alias("sink"), F.col("doc_id").alias("id"), "title"),
+        table_.select(F.lit("table").alias("sink"), F.col("url_obj_id").alias("id"), "title"),
+        rejects.select(F.lit("rejects").alias("sink"), F.col("url_obj_id").alias("id"), "title")])
+
+
 QUERIES = {
     "conform_records": conform_records,
     **{f"build_{site}": _build(site) for site in DOC_SITES},
@@ -275,11 +312,23 @@ QUERIES = {
     "upsert_mebook": upsert_mebook,
     "index_replace": index_replace,
     "fanout_counts": fanout_counts,
+    "compact_table": compact_table,
+    "fanout_manifest": fanout_manifest,
 }
 
 ACCEPTED_ISHARE = "length(title) <= 255 AND length(url) <= 255 AND length(type) <= 5 AND comment_num IS NOT NULL"
 
+_PIPIPAN_SQL = f"""WITH {VERSIONS_SQL}, {_old_and_new("v")}
+        SELECT url_obj_id, b.title, b.n AS read_num, a.crawl_time AS upload_time, b.crawl_time, a.url,
+               'site' AS source_website, 'pdf' AS type, a.crawl_time || ' KB' AS size, b.tag,
+               a.tag AS description FROM oldest a JOIN newest b USING (url_obj_id)"""
+
 ORACLE = {
+    "compact_table": _PIPIPAN_SQL,
+    "fanout_manifest": f"""WITH {SITE_SQL["ishare"]}
+        SELECT 'index' AS sink, url_obj_id AS id, arg_max_null(title, page_id) AS title FROM ishare GROUP BY url_obj_id UNION ALL
+        SELECT 'table', url_obj_id, arg_max_null(title, page_id) FROM ishare WHERE {ACCEPTED_ISHARE} GROUP BY url_obj_id UNION ALL
+        SELECT 'rejects', url_obj_id, title FROM ishare WHERE NOT ({ACCEPTED_ISHARE})""",
     "conform_records": r"""
         WITH r AS (SELECT doc_id, CASE WHEN lang <> 'de' THEN md5(CAST(doc_id AS VARCHAR)) END AS url_obj_id,
             regexp_extract(text, '^[^\n]*') AS title,
@@ -307,10 +356,7 @@ ORACLE = {
                coalesce(b.n, 0) AS load_num, b.n AS read_num, 0 AS comment_num, 0 AS collect_num,
                a.crawl_time AS upload_time, b.crawl_time, a.url, 'site' AS source_website, 'pdf' AS type
         FROM oldest a JOIN newest b USING (url_obj_id)""",
-    "upsert_pipipan": f"""WITH {VERSIONS_SQL}, {_old_and_new("v")}
-        SELECT url_obj_id, b.title, b.n AS read_num, a.crawl_time AS upload_time, b.crawl_time, a.url,
-               'site' AS source_website, 'pdf' AS type, a.crawl_time || ' KB' AS size, b.tag,
-               a.tag AS description FROM oldest a JOIN newest b USING (url_obj_id)""",
+    "upsert_pipipan": _PIPIPAN_SQL,
     "upsert_mebook": f"""WITH {VERSIONS_SQL}, {_old_and_new("v")}
         SELECT url_obj_id, b.title, a.crawl_time AS upload_time, b.crawl_time, a.url,
                'site' AS source_website, 'pdf' AS type,
