@@ -35,10 +35,12 @@ SCALE = 2_000_000
 COVERED = 80
 NO_LANG = "und"
 # bytes of text whose words are numbered together
-BUFFER = 2 << 20
+BUFFER = 1 << 19
 # entries of a container before it bursts, of a trie before subtrees are spilled
 BURST = 4096
-TRIE_ENTRIES = 1_000_000
+TRIE_ENTRIES = 400_000
+# words a task counts before it hands them on
+HELD_WORDS = 250_000
 # numbers of words in a trie take 16 bits, so that four words are one key
 WORD_BITS = 16
 PARTS = 64
@@ -65,7 +67,7 @@ class WordRuns:
         self.starts = np.flatnonzero(~word[:-1] & word[1:]) + 1
         self.ends = np.flatnonzero(word[:-1] & ~word[1:]) + 1
         with np.errstate(over="ignore"):
-            powers, inverses = _power_tables(max(len(data), BUFFER * 2))
+            powers, inverses = _power_tables(max(len(data), BUFFER + (BUFFER >> 1)))
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_TABLE[data] * powers[: len(data)], out=sums[1:])
             self.ids = _mixed((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
@@ -278,17 +280,43 @@ def _bitmap(frequent: DataFrame, words: int) -> _Bitmap:
     return _Bitmap(bits)
 
 
-def _vocabulary(texts: DataFrame) -> DataFrame:
-    """(lang, id, word, f) of all words: each task hands on its distinct words once per buffer."""
+def _vocabulary(texts: DataFrame, least: int) -> DataFrame:
+    """(lang, id, word, f) of the words that stand `least` times or more; a row of each language without an id has the sum of all its words.
+
+    A task adds its words up until it holds HELD_WORDS of them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, dict[int, int]] = {}
+        spelled: dict[int, str] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                ids = [None, *own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array([None, *map(spelled.__getitem__, own)], pa.string()),
+                     pa.array([sum(own.values()), *own.values()], pa.int64())], ["lang", "id", "word", "f"])
+            counts.clear()
+            spelled.clear()
+
         for lang, words in _word_runs(batches):
-            ids, first, counts = np.unique(words.ids, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(ids), pa.string()), pa.array(ids.view(np.int64)),
-                 pa.array([words.word(i) for i in first.tolist()], pa.string()), pa.array(counts)], ["lang", "id", "word", "f"])
+            ids, first, n = np.unique(words.ids, return_index=True, return_counts=True)
+            own = counts.setdefault(lang, {})
+            get = own.get
+            for i, at, c in zip(ids.view(np.int64).tolist(), first.tolist(), n.tolist()):
+                held = get(i)
+                if held is None:
+                    own[i] = c
+                    if i not in spelled:
+                        spelled[i] = words.word(at)
+                else:
+                    own[i] = held + c
+            if len(spelled) > HELD_WORDS:
+                yield from flush()
+        yield from flush()
 
     found = texts.mapInArrow(run, "lang string, id long, word string, f long")
-    return written(found.groupBy("lang", "id").agg(F.min("word").alias("word"), F.sum("f").alias("f")), "vocabulary")
+    summed = found.groupBy("lang", "id").agg(F.min("word").alias("word"), F.sum("f").alias("f"))
+    return written(summed.where((F.col("f") >= least) | F.col("id").isNull()), "vocabulary")
 
 
 def _languages(words: DataFrame) -> DataFrame:
@@ -383,11 +411,11 @@ def scored(frequent: DataFrame, covered: int = COVERED) -> DataFrame:
 
 def frequent_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST_COUNT, most_words: int = MOST_WORDS,
                    limit: int = TRIE_ENTRIES, fan_in: int = runs.FAN_IN) -> tuple[DataFrame, DataFrame]:
-    """(frequent(lang, key, f), vocabulary(lang, id, word, f)): all n-grams of up to `most_words` words that stand `least` times or more."""
+    """(frequent(lang, key, f), words): all n-grams of up to `most_words` words that stand `least` times or more, and what `_vocabulary` gives."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text_or_empty(text_col).alias("text"))
-    words = _vocabulary(texts)
+    words = _vocabulary(texts, least)
     langs = _languages(words)
-    grams = written(words.where(F.col("f") >= least).select("lang", F.col("id").alias("w1"), "f"), "grams-1")
+    grams = written(words.where("id is not null").select("lang", F.col("id").alias("w1"), "f"), "grams-1")
     frequent = grams.select("lang", F.array("w1").alias("key"), "f")
     for n in range(2, most_words + 1):
         grams = _counted(texts, langs, n, _bitmap(grams, n - 1), least, limit, fan_in)
@@ -417,7 +445,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
                .join(words.select("lang", "id", "word"), ["lang", "id"])
                .groupBy("lang", "key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda s: s["word"]), " ")
                                            .alias("phrase")))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = words.where("id is null").select("lang", F.col("f").alias("n"))
     place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     return (first.join(spelled, ["lang", "key"]).withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= top)
             .join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))

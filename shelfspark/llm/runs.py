@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import written
 
-BLOCK = 1 << 14
+BLOCK = 1 << 13
 # runs that one merge reads
 FAN_IN = 64
 # bytes of runs that one partition may hold before the next merge splits it
