@@ -14,7 +14,7 @@ memory:
 
 Texts are cut into units where both tokenizers end a token whatever follows: before a space after a printable ASCII or
 Latin letter.  The byte-level tokenizer's pattern never goes on there, and no piece of the other holds a space behind
-another character (tested when it is loaded; else whole texts are encoded).  Units are remembered between texts.
+another character (tested when it is loaded; else whole texts are encoded).  A mark at a unit's end is cut off in the same way.  Units are remembered between texts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,20 @@ from shelfspark.llm import runs
 from shelfspark.llm.common import written
 
 # records that a task sorts at once
-CHUNK_RECORDS = 1 << 20
+CHUNK_RECORDS = 1 << 19
 RADIX = 32
 # bodies that one task reads with the counts of their partition
 SLICE_RUNS = 32
 # units a worker remembers
-CACHED_UNITS = 300_000
+CACHED_UNITS = 150_000
 # new units that are encoded in one call
 CALL_UNITS = 200
 _SAFE = "!-~À-ɏ"
 _ODD = re.compile(f"(?:^|[^{_SAFE}]) ")
-_ENDS = re.compile(f"[{_SAFE}]\\Z")
+# the characters a unit may end with, and those of them that are letters
+_END = {chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x250)]}
+_LETTER = {c for c in _END if c.isalpha()}
+_MARKS = ".,;:!?"
 
 DOCS = ("chunk long, doc_no int, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
         "groups string, groups_sha256 string, radix int, head binary, body binary")
@@ -55,16 +59,17 @@ def byte_level_decoder() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + at): b for at, b in enumerate(odd)}
 
 
-class Aligned:
-    """What is known of a unit or a text: ids in groups, and its links."""
+class Aligned(NamedTuple):
+    """What is known of a unit or a text: tokens, groups, the groups' ids, and its links (second id << 32 | first id) as bytes."""
 
-    __slots__ = ("n_a", "n_b", "groups", "text", "links")
+    n_a: int
+    n_b: int
+    n_groups: int
+    text: str
+    links: bytes
 
-    def __init__(self, n_a: int, n_b: int, groups: int, text: str, links: np.ndarray):
-        self.n_a, self.n_b, self.groups, self.text, self.links = n_a, n_b, groups, text, links
 
-
-EMPTY = Aligned(0, 0, 0, "", np.empty(0, np.uint64))
+EMPTY = Aligned(0, 0, 0, "", b"")
 
 
 class Aligner:
@@ -88,6 +93,9 @@ class Aligner:
         self.size_a = np.array([len(t) for t in self.bytes_a], np.int64)
         self.size_b = np.array([len(t) for t in self.bytes_b], np.int64)
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
+        # a mark behind a letter is a token's end and beginning on both sides where no piece holds the two
+        marks = [m for m in _MARKS if not any(re.search(f"[^\\W\\d_]{re.escape(m)}", p) for p in pieces)]
+        self.marks = {m: self._cut(self._ids("a" + m), [2, 3])[1] for m in marks}
         self.known: dict[str, Aligned | None] = {}
         self.cached_units = cached_units
 
@@ -108,7 +116,7 @@ class Aligner:
         # every token that ends at a shared offset has bytes, so there is one of each side
         upto_a = np.searchsorted(ends_a, shared, "right")
         upto_b = np.searchsorted(ends_b, shared, "right")
-        links = ids_b[upto_b - 1].astype(np.uint64) << np.uint64(32) | ids_a[upto_a - 1].astype(np.uint64)
+        links = (ids_b[upto_b - 1].astype(np.uint64) << np.uint64(32) | ids_a[upto_a - 1].astype(np.uint64)).tobytes()
         text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
         cuts_a, cuts_b = [0, *upto_a.tolist()], [0, *upto_b.tolist()]
         # most groups are one token of either side
@@ -117,7 +125,7 @@ class Aligner:
         out, first = [], 0
         for last in np.searchsorted(shared, stops, "right").tolist():
             out.append(Aligned(cuts_a[last] - cuts_a[first], cuts_b[last] - cuts_b[first], last - first,
-                               ";".join(groups[first:last]), links[first:last]))
+                               ";".join(groups[first:last]), links[8 * first:8 * last]))
             first = last
         return out
 
@@ -127,9 +135,9 @@ class Aligner:
         return self._cut(found, [int(found[1][-1])])[0] if found else EMPTY
 
     def _learn(self, units: list[str]) -> None:
-        joined = [u for u in units if _ENDS.search(u)]
+        joined = [u for u in units if u[-1:] in _END]
         for u in units:
-            if not _ENDS.search(u):
+            if u[-1:] not in _END:
                 found = self._ids(u)
                 self.known[u] = self._cut(found, [int(found[1][-1])])[0] if found else None
         for first in range(0, len(joined), CALL_UNITS):
@@ -151,7 +159,7 @@ class Aligner:
             return parts
         out = [parts[0]]
         for part in parts[1:]:
-            if _ENDS.search(out[-1]):
+            if out[-1][-1:] in _END:
                 out.append(part)
             else:
                 out[-1] += " " + part
@@ -160,19 +168,24 @@ class Aligner:
     def __call__(self, texts: list[str]) -> Iterator[tuple[Aligned, np.ndarray, np.ndarray]]:
         """(alignment, distinct links, how often each) of each text."""
         room = self.cached_units - len(self.known)
-        cut = [self.units(t) if t and self.apart else [] for t in texts]
-        fresh = {u for units in cut for u in units}.difference(self.known)
+        marks, known = self.marks, self.known
+        cut = [[(u[:-1], u[-1]) if u[-1:] in marks and u[-2:-1] in _LETTER else (u, None) for u in self.units(t)] if t and self.apart else []
+               for t in texts]
+        fresh = {u for units in cut for u, _ in units}.difference(known)
         if fresh:
-            self._learn(sorted(fresh))
+            self._learn(list(fresh))
         for text, units in zip(texts, cut):
-            parts = [self.known[u] for u in units]
+            parts = []
+            for unit, mark in units:
+                parts.append(known[unit])
+                if mark:
+                    parts.append(marks[mark])
             if not units or None in parts:
                 all_of = self.whole(text)
             else:
-                all_of = Aligned(sum([p.n_a for p in parts]), sum([p.n_b for p in parts]), sum([p.groups for p in parts]),
-                                 ";".join([p.text for p in parts]), np.concatenate([p.links for p in parts]))
-            links, times = np.unique(all_of.links, return_counts=True)
-            yield all_of, links, times
+                n_a, n_b, n_groups, ids, links = zip(*parts)
+                all_of = Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(ids), b"".join(links))
+            yield all_of, *np.unique(np.frombuffer(all_of.links, np.uint64), return_counts=True)
         # of the new units those that fit stay, those met first: frequent ones come early
         for unit in sorted(fresh, key=len)[max(room, 0):]:
             del self.known[unit]
@@ -226,7 +239,7 @@ def encode(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
                 rows = []
                 for doc, (found, links, times) in zip(some.column(0).to_pylist(), aligner([t or "" for t in some.column(1).to_pylist()])):
                     digest = hashlib.sha256(found.text.encode()).hexdigest() if found.n_a else ""
-                    rows.append((chunk, len(held), doc, found.n_a, found.n_b, found.groups, len(found.links),
+                    rows.append((chunk, len(held), doc, found.n_a, found.n_b, found.n_groups, len(found.links) // 8,
                                  found.text if with_groups else None, digest))
                     held.append((links, times))
                     size += len(links)
