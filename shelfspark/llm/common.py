@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from shelfspark.session import scratch_path, ship_package
 
 # bytes of a text that are split into words at once
 WORD_CHUNK = 1 << 22
+# bits of a filter for each key, and its least and greatest size
+FILTER_BITS = 16
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 # components of a bucket beyond which its members are dealt again
 HOT_PARTS = 64
 
@@ -28,6 +32,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of hashed long keys: FILTER_BITS bits for each, up to a fixed size.
+
+    Its blocks are made by aggregates; what comes to the driver is at most MOST_BITS bits whatever the input.
+    """
+    n = keys.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_BITS * n).bit_length()))
+    place = F.col(key).bitwiseAND(size - 1) + 1
+    found = (keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect())
+    bits = np.zeros(size // 8, np.uint8)
+    for r in found:
+        block = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = (r["block"] - 1) * len(block)
+        bits[at:at + len(block)] = block
+    return bits
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each key whether it may be one of the filter's; false only where it is not."""
+    at = (keys.astype(np.int64) & (len(bits) * 8 - 1))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def word_runs(data: bytes) -> Iterator[list[bytes]]:
     """The words `[^\\x20\\x09-\\x0D]+` of a text in runs, so that a long text is never one list."""
     chunk = WORD_CHUNK

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import link_within_buckets, text_or_empty, with_components, written
+from shelfspark.llm.common import key_filter, link_within_buckets, may_hold, text_or_empty, with_components, written
 from shelfspark.llm.repeats import _TABLE, _mixed, _power_tables
 
 SHINGLE_WORDS = 5
@@ -41,6 +41,8 @@ BLOCK = 1 << 16
 # words of a picked run, and places of which one at least is picked
 RUN_WORDS = 20
 PICK_WINDOW = 31
+# keys that a task holds before it adds them up
+HELD_KEYS = 1 << 20
 # bytes whose words are hashed at once
 BUFFER = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -139,11 +141,31 @@ def _word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield from hashed(held)
 
 
-def picked_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, number of words, key) of the picked runs of a text and of the stretches between two picks, ends included."""
+def picked_runs(words: np.ndarray, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, number of words, key) of the picked runs of a text and of the stretches between two picks, ends included.
+
+    With a filter of the keys that stand in several places, only those runs and the stretches between two of them: a
+    stretch that is repeated has repeated ends.
+    """
+    at, runs, sums = _picks(words)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    keep = np.ones(len(at), bool) if shared is None else may_hold(shared, runs.view(np.int64))
+    both = np.flatnonzero(keep[:-1] & keep[1:])
+    with np.errstate(over="ignore"):
+        _, inverses = _power_tables(max(len(words), BUFFER * 2))
+        begin, end = at[both], at[both + 1] + RUN_WORDS
+        sizes = end - begin
+        stretches = _mixed((sums[end] - sums[begin]) * inverses[begin] + sizes.astype(np.uint64))
+    return (np.concatenate((at[keep], begin)), np.concatenate((np.full(int(keep.sum()), RUN_WORDS), sizes)),
+            np.concatenate((runs[keep], stretches)).view(np.int64))
+
+
+def _picks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, keys) of the picked runs, and the running sums of the words' hashes."""
     n = len(words) - RUN_WORDS + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         powers, inverses = _power_tables(max(len(words), BUFFER * 2))
         sums = np.zeros(len(words) + 1, np.uint64)
@@ -152,10 +174,32 @@ def picked_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         width = min(PICK_WINDOW, n)
         least = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1)
         at = np.unique(np.arange(len(least)) + least)
-        sizes = np.diff(at) + RUN_WORDS
-        stretches = _mixed((sums[at[1:] + RUN_WORDS] - sums[at[:-1]]) * inverses[at[:-1]] + sizes.astype(np.uint64))
-        return (np.concatenate((at, at[:-1])), np.concatenate((np.full(len(at), RUN_WORDS), sizes)),
-                np.concatenate((runs[at], stretches)).view(np.int64))
+    return at, runs[at], sums
+
+
+def _shared_runs(docs: DataFrame, text_col: str) -> np.ndarray:
+    """A filter of the keys of picked runs that stand in two places or more; a task adds its own up before they move."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            # twice is as good as often
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["key", "n"])
+
+        for batch in batches:
+            for words in _word_hashes([t.as_py().lower().encode("utf-8", "surrogatepass") for t in batch.column(0)]):
+                held.append(_picks(words)[1])
+                size += len(held[-1])
+                if size >= HELD_KEYS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "key long, n int")
+    return key_filter(written(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "shared-keys"), "key")
 
 
 def _lines(text: Column) -> Column:
@@ -164,16 +208,16 @@ def _lines(text: Column) -> Column:
     return F.filter(lines, lambda s: F.size(s["words"]) >= LEAST_WORDS)
 
 
-def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _parts(docs: DataFrame, id_col: str, text_col: str, shared: np.ndarray | None = None) -> DataFrame:
     """(row_id, doc_id, idx, n_words, pid, place, key): each long line (idx, pid), each picked run and stretch (place, key).
 
-    A document without any gives one row of nulls.
+    With a filter of shared runs, those it holds alone. A document without any gives one row of nulls.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("place", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64())])
         for batch in batches:
             texts = [t.as_py().lower().encode("utf-8", "surrogatepass") for t in batch.column(2)]
-            made = [picked_runs(words) for words in _word_hashes(texts)]
+            made = [picked_runs(words, shared) for words in _word_hashes(texts)]
             place, n_words, key = (np.concatenate([m[k] for m in made]) if made else np.empty(0, np.int64) for k in range(3))
             items = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(n_words, pa.int32()), pa.array(key, pa.int64())],
                                                fields=list(kind))
@@ -194,15 +238,40 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return numbered.select("row_id", "doc_id", F.explode_outer(F.concat(lines, runs)).alias("p")).select("row_id", "doc_id", "p.*")
 
 
+def _bands(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
+    """(id, buckets): a number for each band of texts(id, hashes); equal texts of a batch once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            some = batch.take(pa.array(first))
+            keys = band_keys(some.column(1), bands, band_rows)
+            with np.errstate(over="ignore"):
+                flat = keys.values.to_numpy().view(np.uint64).reshape(-1, bands) + np.arange(bands, dtype=np.uint64) * _BASE
+                named = _mixed(flat).view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(keys.offsets, pa.array(named))], ["id", "buckets"])
+
+    return texts.mapInArrow(run, "id long, buckets array<long>")
+
+
 def _banded(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
-    """(bucket, id): each of texts(id, words) in the bucket of each of its bands."""
+    """(bucket, id): texts(id, hashes) in those buckets of their bands that hold several.
+
+    The bands are written, and counted without their texts; then only rows of shared buckets are made.
+    """
+    banded = written(_bands(texts, bands, band_rows), "bands")
+    # two texts differ in the low half of their hashes too, but for one pair in 2 ** 32
+    each = banded.select(F.explode("buckets").alias("bucket"), F.col("id").bitwiseAND(0xFFFFFFFF).alias("part"))
+    several = each.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
+    shared = key_filter(written(several, "shared-buckets"), "bucket")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), band_keys(batch.column(1), bands, band_rows)], ["id", "bands"])
+            flat = batch.column(1).flatten().to_numpy()
+            keep = may_hold(shared, flat)
+            owner = np.repeat(batch.column(0).to_numpy(), bands)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(owner)], ["bucket", "id"])
 
-    banded = texts.select("id", _hashes(F.split("words", " ")).alias("hashes")).mapInArrow(run, "id long, bands array<long>")
-    return banded.select("id", F.posexplode("bands").alias("band", "key")) \
-        .select(F.struct("band", "key").alias("bucket"), "id")
+    return banded.mapInArrow(run, "bucket long, id long").distinct()
 
 
 def _hashes(words: Column) -> Column:
@@ -223,15 +292,23 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
     rows = parts.where("pid is not null").select("row_id", "doc_id", "idx", "n_words", "pid")
-    # the words of one paragraph of each kind; copies meet before the shuffle
-    texts = written(docs.select(F.explode(_lines(text_or_empty(text_col))).alias("p")).select("p.words")
-                    .select(F.xxhash64(_hashes(F.col("words"))).alias("id"), F.concat_ws(" ", "words").alias("words"))
-                    .groupBy("id").agg(F.first("words").alias("words")), "paragraph-texts")
-    members = _banded(texts, BANDS, BAND_ROWS)
+    words = docs.select(F.explode(_lines(text_or_empty(text_col))).alias("p")).select("p.words")
+    texts = words.select(_hashes(F.col("words")).alias("hashes"), F.concat_ws(" ", "words").alias("words")) \
+        .select(F.xxhash64("hashes").alias("id"), "hashes", "words")
+    members = _banded(texts.select("id", "hashes"), BANDS, BAND_ROWS)
     held: list[DataFrame] = []
 
     def prepare(ids: DataFrame) -> None:
-        held.append(written(texts.join(ids, "id", "left_semi"), "colliding-texts"))
+        """The words of one paragraph of each colliding kind; a filter lets few others move."""
+        ids = written(ids, "colliding")
+        bits = key_filter(ids, "id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may_hold(bits, batch.column(0).to_numpy())))
+
+        some = texts.select("id", "words").mapInArrow(run, "id long, words string").join(ids, "id", "left_semi")
+        held.append(written(some.groupBy("id").agg(F.first("words").alias("words")), "colliding-texts"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +321,8 @@ def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity:
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
     def narrow(ids: DataFrame) -> DataFrame:
-        return _banded(held[0].join(ids, "id", "left_semi"), NARROW_BANDS, NARROW_ROWS)
+        some = held[0].join(ids, "id", "left_semi")
+        return _banded(some.select("id", _hashes(F.split("words", " ")).alias("hashes")), NARROW_BANDS, NARROW_ROWS)
 
     roots = link_within_buckets(members, verified, prepare, narrow)
     placed = written(with_components(rows, roots, "pid"), "placed")
@@ -293,7 +371,7 @@ def paragraph_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     removed: the lines to remove; components: of the document's long paragraphs, in order of their lines;
     passages: the words (first, n_words) to remove, counted from 0 over all lines, long or short.
     """
-    parts = written(_parts(docs, id_col, text_col), "paragraphs")
+    parts = written(_parts(docs, id_col, text_col, _shared_runs(docs, text_col)), "paragraphs")
     found = _removed_lines(parts, docs, text_col, similarity)
     listed = F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "component_id", "removed"))))
     rows = found.groupBy("row_id", "doc_id").agg(listed.alias("p"))
