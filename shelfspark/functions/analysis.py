@@ -102,3 +102,45 @@ def highlight(text: Column, terms: Column, pre: str, post: str) -> Column:
             .when(p.rlike(f"^{HAN}{{2,}}$"), mark_run(p))
             .otherwise(p)),
         "")
+
+
+SENTENCE = r"(?s)[^.!?\n。！？]*[.!?\n。！？]+\s*|[^.!?\n。！？]+$"
+
+
+def passages(text: Column, size: int) -> Column:
+    """A text in passages of about `size` characters that end with a sentence.
+
+    A sentence joins the passage before it as long as that is shorter than `size`; a longer one is cut at the last
+    space before `size`, or at `size` if it has none.
+    """
+    # sentences, long ones in parts that end at a space
+    part = rf"(?s)(?:.{{1,{size - 1}}}\s|.{{{size}}}|.+$)"
+    parts = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda s: F.when(
+        F.length(s) > size, F.regexp_extract_all(s, F.lit(part), F.lit(0))).otherwise(F.array(s))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def join(state: Column, s: Column) -> Column:
+        fits = (state["open"] == "") | (F.length(state["open"]) + F.length(s) <= size)
+        return F.when(fits, F.struct(state["done"].alias("done"), F.concat(state["open"], s).alias("open"))).otherwise(
+            F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), s.alias("open")))
+
+    return F.aggregate(parts, start, join, lambda state: F.when(state["open"] == "", state["done"])
+                       .otherwise(F.concat(state["done"], F.array(state["open"]))))
+
+
+def fragments(text: Column, weights: Column, tokens: Callable[[Column], Column], size: int, most: int) -> Column:
+    """The best passages of a text, in their order: array of (place, score, text).
+
+    weights: array of (term, weight) of the query's words. A passage scores the weights of its distinct
+    words that are asked for, and a tenth of that again for each further one: passages that hold several words
+    stand before those that repeat one. Passages without such a word are none.
+    """
+    def scored(passage: Column, at: Column) -> Column:
+        found = bind(tokens(passage), lambda words: F.filter(weights, lambda w: F.array_contains(words, w["term"])))
+        total = F.aggregate(found, F.lit(0.0), lambda done, w: done + w["weight"])
+        spread = F.greatest(F.size(found) - 1, F.lit(0))
+        return F.struct(F.round(total * (1.0 + 0.1 * spread), 6).alias("score"), (-at).alias("back"), passage.alias("text"))
+    ranked = F.filter(F.transform(passages(text, size), scored), lambda s: s["score"] > 0)
+    best = F.slice(F.reverse(F.array_sort(ranked)), F.lit(1), F.lit(most))
+    placed = F.transform(best, lambda s: F.struct((-s["back"]).alias("place"), s["score"].alias("score"), s["text"].alias("text")))
+    return F.array_sort(placed)

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import urls
-from shelfspark.session import materialize
+from shelfspark.session import materialize, scratch_path, sized
+
+# folders of visited pages
+VISITED_BUCKETS = 32
 
 
 def clean_fingerprints(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -47,29 +50,47 @@ def in_domain_table(links: DataFrame, domains: DataFrame, url: str = "url",
             .join(allowed, "host", "left_semi").drop("host"))
 
 
-def walk_frontier(seeds: DataFrame, links: DataFrame, hops: Sequence[str], repeat_last: bool = False) -> DataFrame:
+def walk_frontier(seeds: DataFrame, links: DataFrame, hops: Sequence[str], repeat_last: bool = False,
+                  buckets: int = VISITED_BUCKETS) -> DataFrame:
     """Pages reached from `seeds(url)` over `links(src_url, dst_url, route)`.
 
     Hop n follows only links of route `hops[n - 1]`; a page counts at its
     smallest depth and is expanded once. With `repeat_last` the last route leads into
-    itself: it is followed until a level finds no new page. Each level is written to the shared
-    folder before the next one, so the plan does not grow with the depth.
+    itself: it is followed until a level finds no new page.
+
+    Visited pages are one table in folders by a bucket of the url. A level appends its new pages to it, and
+    meets only the buckets its own pages fall into: the plan is the same at every depth, and a small frontier reads
+    a small part of what was visited. Only the pages of the last level are expanded.
     """
-    frontier = materialize(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    visited = frontier
+    spark = seeds.sparkSession
+    root = scratch_path(spark, "visited")
+    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+    schema = f"url {seeds.schema['url'].dataType.simpleString()}, depth int, bucket int"
+
+    def visited() -> DataFrame:
+        return spark.read.schema(schema).parquet(root)
+
+    def add(pages: DataFrame) -> DataFrame:
+        """Append a level; it is written once by itself first, as the append reads what is visited."""
+        level = materialize(pages)
+        level.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(root)
+        return level
+
+    frontier = add(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     more = repeat(hops[-1]) if repeat_last and hops else ()
     for depth, name in enumerate(chain(hops, more), start=1):
         step = links.filter(F.col("route") == name).select(
             F.col("src_url").alias("url"), "dst_url")
-        reached = (frontier.select("url").join(step, "url")
-                   .select(F.col("dst_url").alias("url")).distinct()
-                   .join(visited.select("url"), "url", "left_anti")
-                   .withColumn("depth", F.lit(depth)))
-        frontier = materialize(reached)
+        reached = materialize(step.join(sized(frontier.select("url")), "url").select(F.col("dst_url").alias("url")).distinct()
+                              .withColumn("bucket", bucket))
+        touched = sorted(r["bucket"] for r in reached.select("bucket").distinct().collect())
+        if not touched:
+            break
+        known = visited().filter(F.col("bucket").isin(touched)).select("url")
+        frontier = add(reached.join(known, "url", "left_anti").select("url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
-    return visited
+    return visited().select("url", "depth")
 
 
 def walk_next_pages(starts: DataFrame, next_links: DataFrame, max_rounds: int = 40) -> DataFrame:

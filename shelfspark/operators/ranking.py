@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import materialize, sized
+
 SCORE_PER_SEARCH = 5
 
 
@@ -30,20 +32,25 @@ def recent_searches(log: DataFrame, k: int = 5, min_length: int = 2) -> DataFram
             .filter(F.col("rank") <= k))
 
 
-def first_seen_history(log: DataFrame, slot: str = "hour") -> DataFrame:
+def first_seen_history(log: DataFrame, ranges: int | None = None) -> DataFrame:
     """All distinct keywords of each user in the order of their first search.
 
-    The rank is the place within a time slot plus the count of earlier slots,
-    so a user with a huge history is ranked slot by slot in many tasks.
+    The rows are range-partitioned by (user, first time, keyword), so a user with a third of all rows lies in many
+    partitions, and even one instant does. A row's rank is its place in its partition's share of the user, plus
+    what the partitions before hold of the user: no window spans a user.
     """
-    first = (log.groupBy("user_id", "keyword").agg(F.min("ts").alias("first_ts"))
-             .withColumn("slot", F.date_trunc(slot, "first_ts")))
-    slots = first.groupBy("user_id", "slot").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("user_id").orderBy("slot").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = slots.select("user_id", "slot",
-                           F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    place = Window.partitionBy("user_id", "slot").orderBy("first_ts", "keyword")
-    return (first.withColumn("place", F.row_number().over(place))
-            .join(offsets, ["user_id", "slot"])
-            .select("user_id", "keyword", "first_ts", (F.col("before") + F.col("place")).alias("rank")))
+    first = log.groupBy("user_id", "keyword").agg(F.min("ts").alias("first_ts"))
+    order = ["user_id", "first_ts", "keyword"]
+    spread_out = first.repartitionByRange(ranges, *order) if ranges else first.repartitionByRange(*order)
+    # written, so that both steps below see the same partitions
+    cut = materialize(spread_out.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    # one row for each user of a partition
+    counts = cut.groupBy("user_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("user_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("user_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("user_id", "part").orderBy("first_ts", "keyword")
+    # a null user is a user of its own
+    there = cut.withColumn("place", F.row_number().over(inside)).alias("r")
+    ahead = sized(offsets).alias("o")
+    return (there.join(ahead, F.col("r.user_id").eqNullSafe(F.col("o.user_id")) & (F.col("r.part") == F.col("o.part")))
+            .select("r.user_id", "r.keyword", "r.first_ts", (F.col("before") + F.col("place")).alias("rank")))

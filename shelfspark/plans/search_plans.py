@@ -120,6 +120,13 @@ def search_hits(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("upload_time", times.date_part(F.col("upload_time"))))
 
 
+def highlight_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """The best passages of the descriptions of all hits, words of the query marked."""
+    queries, index = _queries(spark, sf), book_index(spark, sf)
+    hits = search.search(queries, index, ALL_FIELDS)
+    return search.highlight_fragments(hits, queries, index, book_docs(spark, sf).select("doc_id", "description"), "description")
+
+
 def _catalog_docs(spark: SparkSession, sf: str) -> DataFrame:
     """The catalogue of all sites; a page that several sites hold is a document of each."""
     rows = catalog_union({site: site_records(spark, sf, site) for site in DOC_SITES})
@@ -191,6 +198,7 @@ QUERIES = {
     "highlight": highlight,
     "search_hits": search_hits,
     "search_catalog": search_catalog,
+    "highlight_fragments": highlight_fragments,
     "suggest_prefix": suggest_prefix,
     "suggest_fuzzy": suggest_fuzzy,
     "suggest_json": suggest_json,
@@ -241,6 +249,9 @@ _HITS_SQL = "SELECT query_id, rank, doc_id, score FROM hits"
 _WORDS_SQL = f"words AS (SELECT query_id, list_distinct({_TOKENS.format('text')}) AS w FROM queries)"
 
 
+_SENTENCE, _SIZE = analysis.SENTENCE.replace("'", "''"), search.FRAGMENT_SIZE
+
+
 def _marked(column: str) -> str:
     pieces = rf"regexp_extract_all({column}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+')"
     return f"""coalesce(array_to_string(list_transform({pieces}, lambda x: CASE WHEN list_contains(w, lower(x))
@@ -309,6 +320,24 @@ ORACLE = {
         SELECT query_id, rank, doc_id, score, {_marked('title')} AS title, substring({_marked('tag')}, 1, 500) AS tag,
                url, source_website, split_part(upload_time, 'T', 1) AS upload_time
         FROM hits JOIN d USING (doc_id) JOIN words USING (query_id)""",
+    "highlight_fragments": f"""WITH {ranked_sql(ALL_FIELDS)},
+        weighted AS (SELECT query_id, qterm.term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS weight FROM qterm
+                     JOIN tstat ON tstat.term = qterm.term AND tstat.field = 'description' JOIN fstat ON fstat.field = 'description'),
+        asked AS (SELECT query_id, list(term) AS w FROM weighted GROUP BY query_id),
+        parts AS (SELECT query_id, doc_id, description, flatten(list_transform(regexp_extract_all(description, '{_SENTENCE}'), lambda s:
+                    CASE WHEN length(s) > {_SIZE} THEN regexp_extract_all(s, '(?s)(?:.{{1,{_SIZE - 1}}}\s|.{{{_SIZE}}}|.+$)') ELSE [s] END)) AS parts
+                  FROM hits JOIN d USING (doc_id)),
+        packed AS (SELECT query_id, doc_id, description, CASE WHEN len(parts) = 0 THEN [] ELSE list_reduce(list_transform(parts, lambda p: [p]), lambda a, x:
+                     CASE WHEN length(a[-1]) + length(x[1]) <= {_SIZE} THEN list_append(a[1:len(a) - 1], a[-1] || x[1]) ELSE list_concat(a, x) END) END AS ps
+                   FROM parts),
+        passages AS (SELECT query_id, doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS at FROM packed),
+        rated AS (SELECT query_id, doc_id, at, p, round(sum(weight) * (1 + 0.1 * (count(*) - 1)), 6) AS score FROM passages JOIN weighted USING (query_id)
+                  WHERE list_contains({_TOKENS.format('p')}, term) GROUP BY ALL),
+        chosen AS (SELECT * FROM rated WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, at) <= 5),
+        joined AS (SELECT query_id, doc_id, count(*) AS n, string_agg({_marked('p')}, '' ORDER BY at) AS text FROM chosen JOIN asked USING (query_id)
+                   GROUP BY query_id, doc_id)
+        SELECT query_id, doc_id, coalesce(n, 0) AS n_fragments, coalesce(text, description) AS description
+        FROM packed LEFT JOIN joined USING (query_id, doc_id)""",
     "search_catalog": f"""WITH {ranked_sql(ALL_FIELDS).replace(BOOK_DOCS_SQL, _CATALOG_DOCS_SQL)}, {_WORDS_SQL},
         n AS (SELECT query_id, count(*) AS total FROM scored GROUP BY query_id)
         SELECT query_id, rank, doc_id, score, {_marked('title')} AS title, total

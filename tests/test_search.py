@@ -208,3 +208,60 @@ def test_typing_distance(spark):
 def test_json_titles(spark):
     df = spark.createDataFrame([(1, 2, 'b"'), (1, 1, "a")], "query_id int, rank int, title string")
     assert suggest.titles_json(df).first().titles == '["a","b\\""]'
+
+
+def test_passages_cover_the_text_and_end_with_sentences(spark):
+    from shelfspark.functions.analysis import passages
+    texts = ["One. Two is here! Three?\nFour", "", None, "x" * 95, "word " * 30, "no end " * 3 + ". Last one here.", "短い。文です！" * 10]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for row in frame.select("t", passages(F.col("t"), 30).alias("p")).collect():
+        assert "".join(row.p) == (row.t or "") and all(0 < len(p) <= 30 for p in row.p)
+    one = frame.filter("i = 0").select(passages(F.col("t"), 14).alias("p")).first().p
+    assert one == ["One. ", "Two is here! ", "Three?\nFour"]
+
+
+def test_fragments_prefer_several_words_and_fall_back_to_the_text(spark):
+    from shelfspark.operators.index import write_index
+    from shelfspark.operators.search import highlight_fragments, search
+    from shelfspark.session import scratch_path
+    docs = spark.createDataFrame([
+        (1, "t", "Nothing is said here at all, it goes on for a while. " * 3 + "The apple stands alone in this sentence of its own, more or less. "
+            + "An apple and a pear meet here, which counts for more than one of them would do. " + "pear. " * 30),
+        (2, "apple", "No such fruit in this one.")], "doc_id long, title string, description string")
+    index = write_index(docs, {"title": "fine", "description": "fine"}, scratch_path(spark, "fragments"), ["title"], buckets=2)
+    queries = spark.createDataFrame([(1, "apple pear")], "query_id long, text string")
+    hits = search(queries, index, ["title", "description"])
+    rows = {r.doc_id: r for r in highlight_fragments(hits, queries, index, docs, "description", most=1).collect()}
+    assert rows[1].n_fragments == 1 and rows[1].description.startswith('An <span class="keyWord">apple</span> and a <span')
+    assert rows[2].n_fragments == 0 and rows[2].description == "No such fruit in this one."
+
+
+def test_history_ranks_inside_one_instant_of_one_user(spark):
+    from shelfspark.operators.ranking import first_seen_history
+    # a third of all searches are one user's in one hour, many at one time
+    log = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("user_id"),
+                                   F.concat(F.lit("k"), F.col("id") % 900).alias("keyword"),
+                                   F.timestamp_seconds((F.col("id") % 5) * 60).alias("ts"))
+    rows = first_seen_history(log, ranges=12).collect()
+    want = {}
+    for r in log.collect():
+        key = r.user_id, r.keyword
+        want[key] = min(want.get(key, r.ts), r.ts)
+    users = {}
+    for (user, keyword), ts in sorted(want.items(), key=lambda x: (x[1], x[0][1])):
+        users.setdefault(user, []).append(keyword)
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r.user_id, []).append(r.keyword)
+    assert got == users and sorted(r["rank"] for r in rows if r.user_id == 7) == list(range(1, len(users[7]) + 1))
+
+
+def test_walk_of_many_levels_keeps_its_plan(spark):
+    from shelfspark.operators import links
+    chain = spark.range(40).select(F.concat(F.lit("p"), "id").alias("src_url"), F.concat(F.lit("p"), F.col("id") + 1).alias("dst_url"), F.lit("next").alias("route"))
+    back = spark.createDataFrame([("p20", "p3", "next"), ("p5", "q", "other")], chain.schema)
+    seeds = spark.createDataFrame([("p0",), ("p0",)], "url string")
+    out = links.walk_frontier(seeds, chain.unionByName(back), ["next"], repeat_last=True, buckets=8)
+    assert {r.url: r.depth for r in out.collect()} == {f"p{i}": i for i in range(41)}
+    # one scan of the visited pages, whatever the depth
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
