@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from shelfspark.operators.tables import merge_versions
 from shelfspark.schemas import SourceSpec
@@ -124,7 +124,7 @@ def _rows(spark: SparkSession, state: _State, buckets: set[int] | None = None) -
     columns = [f.name for f in state.schema]
     out = spark.read.schema(state.schema).parquet(*base) if base else empty
     if state.deltas:
-        with_bucket = StructType([*state.schema.fields]).add("bucket", "int")
+        with_bucket = StructType([*state.schema.fields, StructField("bucket", IntegerType())])
         # one scan for all deltas: their folders differ by batch alone
         root = state.deltas[0].rsplit("/", 1)[0]
         deltas = spark.read.schema(with_bucket).option("basePath", root).parquet(*state.deltas)
