@@ -40,13 +40,13 @@ PERCENT = 90
 COUNTERS = 1 << 22
 SLICES = 64
 # members of a list beyond which answers are derived from a centre
-LIST_ROWS = 64
+LIST_ROWS = 256
 # entries of a list that are skipped together
-SKIP_BLOCK = 8
+SKIP_BLOCK = 16
 # rounds of centres; what is then still in long lists is compared pair by pair, in tasks that Spark splits
 ROUNDS = 6
 # pairs in long lists that are compared without a centre, being few
-PLAIN_PAIRS = 500_000
+PLAIN_PAIRS = 20_000
 # of a set's parity bitmap
 BITS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -339,14 +339,17 @@ def _differences(long: DataFrame, held: DataFrame, half: int, gram_words: int) -
 def _indexed(members: DataFrame, half: int) -> tuple[DataFrame, DataFrame]:
     """(postings, links) of members(cell, id, root, n, weight, grams): their differences, rarest of the cell first.
 
-    A set's partner has at least the cell's least weight, so that many differences have to be common; those that need none
-    link with the member of the least weight.
+    A set's partner has at least the cell's least weight, and about as many differences as the set itself, so that many have to be
+    common; sets that need none link with the member of the least weight.
     """
     least = written(members.groupBy("cell").agg(F.min(F.struct("weight", "id")).alias("least")), "least")
     seen = written(members.join(sized(least), "cell").select(
         "cell", "id", "root", "n", "weight", "grams", F.col("least.weight").alias("lw"), F.col("least.id").alias("least")), "members")
     links = seen.where("weight + lw <= 0 and id <> least").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
-    needed = F.greatest(F.ceil((F.col("weight") + F.col("lw")) / (2 * half)), F.lit(1))
+    # two linked sets differ in (100 - percent) / (100 + percent) of their sizes' sum at most, and so do the numbers of their differences
+    percent = half - 100
+    apart = F.floor(F.col("n") * (100 + percent) * (100 - percent) / (percent * (100 + percent)))
+    needed = F.greatest(F.ceil((F.col("weight") + F.col("lw")) / (2 * half)), F.size("order") - apart, F.lit(1))
     each = written(seen.select("cell", "id", F.explode("grams").alias("tok")), "difference-grams")
     often = each.groupBy("cell", "tok").agg(F.count("*").alias("f"))
     # a difference that one member alone has is common to none
@@ -360,9 +363,15 @@ def _indexed(members: DataFrame, half: int) -> tuple[DataFrame, DataFrame]:
 
 def _round(postings: DataFrame, percent: int, list_rows: int) -> tuple[DataFrame, DataFrame]:
     """(lists, long): lists(members) of up to `list_rows` sets, and long(cell, centre, id) of longer ones; only lists that touch two components."""
-    sizes = (postings.groupBy("cell", "tok").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("many > 1 and low < high").drop("low", "high"))
-    shared = written(postings.join(sizes, ["cell", "tok"]), "lists")
+    def sizes(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy("cell", "tok").agg(F.count("*").alias("many"), F.min("weight").alias("least"), F.min("root").alias("low"),
+                                                F.max("root").alias("high")).where("many > 1 and low < high").drop("low", "high"))
+
+    # a set that leaves too few grams behind even for the list's least weight has no partner here
+    half = 2 * _weights(percent)[1]
+    fits = half * (F.col("s") - F.col("pos")) >= F.col("weight") + F.col("least")
+    some = written(postings.join(sizes(postings), ["cell", "tok"]).where(fits).drop("many", "least"), "lists")
+    shared = written(some.join(sizes(some), ["cell", "tok"]).where(fits).drop("least"), "shared-lists")
     lists = (shared.where(F.col("many") <= list_rows).groupBy("cell", "tok")
              .agg(F.collect_list(F.struct("id", "root", "n", "pos", "s", "weight")).alias("members")))
     long = shared.where(F.col("many") > list_rows).drop("many")
