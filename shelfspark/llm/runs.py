@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import written
 
-BLOCK = 1 << 13
+BLOCK = 1 << 12
 # runs that one merge reads
-FAN_IN = 64
+FAN_IN = 512
 # bytes of runs that one partition may hold before the next merge splits it
 PART_BYTES = 64 << 20
 _HEAD = struct.Struct("<III")
