@@ -324,17 +324,17 @@ ORACLE = {
         weighted AS (SELECT query_id, qterm.term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS weight FROM qterm
                      JOIN tstat ON tstat.term = qterm.term AND tstat.field = 'description' JOIN fstat ON fstat.field = 'description'),
         asked AS (SELECT query_id, list(term) AS w FROM weighted GROUP BY query_id),
-        parts AS (SELECT query_id, doc_id, description, flatten(list_transform(regexp_extract_all(description, '{_SENTENCE}'), lambda s:
+        pieces AS (SELECT query_id, doc_id, description, flatten(list_transform(regexp_extract_all(description, '{_SENTENCE}'), lambda s:
                     CASE WHEN length(s) > {_SIZE} THEN regexp_extract_all(s, '(?s)(?:.{{1,{_SIZE - 1}}}\s|.{{{_SIZE}}}|.+$)') ELSE [s] END)) AS parts
                   FROM hits JOIN d USING (doc_id)),
         packed AS (SELECT query_id, doc_id, description, CASE WHEN len(parts) = 0 THEN [] ELSE list_reduce(list_transform(parts, lambda p: [p]), lambda a, x:
                      CASE WHEN length(a[-1]) + length(x[1]) <= {_SIZE} THEN list_append(a[1:len(a) - 1], a[-1] || x[1]) ELSE list_concat(a, x) END) END AS ps
-                   FROM parts),
-        passages AS (SELECT query_id, doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS at FROM packed),
-        rated AS (SELECT query_id, doc_id, at, p, round(sum(weight) * (1 + 0.1 * (count(*) - 1)), 6) AS score FROM passages JOIN weighted USING (query_id)
+                   FROM pieces),
+        passages AS (SELECT query_id, doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS place FROM packed),
+        rated AS (SELECT query_id, doc_id, place, p, round(sum(weight) * (1 + 0.1 * (count(*) - 1)), 6) AS score FROM passages JOIN weighted USING (query_id)
                   WHERE list_contains({_TOKENS.format('p')}, term) GROUP BY ALL),
-        chosen AS (SELECT * FROM rated WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, at) <= 5),
-        joined AS (SELECT query_id, doc_id, count(*) AS n, string_agg({_marked('p')}, '' ORDER BY at) AS text FROM chosen JOIN asked USING (query_id)
+        chosen AS (SELECT * FROM rated WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, place) <= 5),
+        joined AS (SELECT query_id, doc_id, count(*) AS n, string_agg({_marked('p')}, '' ORDER BY place) AS text FROM chosen JOIN asked USING (query_id)
                    GROUP BY query_id, doc_id)
         SELECT query_id, doc_id, coalesce(n, 0) AS n_fragments, coalesce(text, description) AS description
         FROM packed LEFT JOIN joined USING (query_id, doc_id)""",
