@@ -325,7 +325,7 @@ ORACLE = {
                      JOIN tstat ON tstat.term = qterm.term AND tstat.field = 'description' JOIN fstat ON fstat.field = 'description'),
         asked AS (SELECT query_id, list(term) AS w FROM weighted GROUP BY query_id),
         pieces AS (SELECT query_id, doc_id, description, flatten(list_transform(regexp_extract_all(description, '{_SENTENCE}'), lambda s:
-                    CASE WHEN length(s) > {_SIZE} THEN regexp_extract_all(s, '(?s)(?:.{{1,{_SIZE - 1}}}\s|.{{{_SIZE}}}|.+$)') ELSE [s] END)) AS parts
+                    CASE WHEN length(s) > {_SIZE} THEN regexp_extract_all(s, '(?s)(?:.{{1,{_SIZE - 1}}}\\s|.{{{_SIZE}}}|.+$)') ELSE [s] END)) AS parts
                   FROM hits JOIN d USING (doc_id)),
         packed AS (SELECT query_id, doc_id, description, CASE WHEN len(parts) = 0 THEN [] ELSE list_reduce(list_transform(parts, lambda p: [p]), lambda a, x:
                      CASE WHEN length(a[-1]) + length(x[1]) <= {_SIZE} THEN list_append(a[1:len(a) - 1], a[-1] || x[1]) ELSE list_concat(a, x) END) END AS ps

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import urls
-from shelfspark.operators import ranking
+from shelfspark.operators import keyed, ranking
 from shelfspark.operators.extract import extract_fields
 from shelfspark.operators.records import build_ishare
 from shelfspark.operators.tables import accepted, conform, current_index, current_table, read_sink, upsert
@@ -14,6 +14,25 @@ from shelfspark.sources.pages import stream_files
 from shelfspark.streaming import jobs
 
 
+def test_published_ingest_compacts_and_equals_one_upsert(spark, feed, tmp_path):
+    folder, add = feed
+    root, spec = str(tmp_path / "published"), SOURCES["ishare"]
+    sinks = keyed.site_sinks(spec, 2)
+    html, schema, seen = "<h1>{0}</h1><article>x</article>", "page_id bigint, url string, html string", []
+    for at, part in enumerate(([(0, "http://a/1", html.format("one")), (10, "http://a/2", html.format("two"))],
+                               [(12, "http://a/1", html.format("three"))], [(14, "http://a/3", html.format("x" * 300)), (17, None, "")])):
+        seen += part
+        add(spark.createDataFrame(part, schema))
+        pages = site_pages(stream_files(spark, folder, PAGES), spec.site)
+        jobs.start_published_ingest(pages, spec, root, now=7, compact_every=2, buckets=2).awaitTermination()
+        assert keyed.deltas(spark, root, sinks[1]) == (1, 0, 1)[at]
+    records = build_ishare(extract_fields(site_pages(spark.createDataFrame(seen, schema), spec.site), spec.fields), 7, keep=("page_id",))
+    want = upsert(None, accepted(conform(records.withColumnRenamed("page_id", "seq"), spec.rules, keep=["seq"])).filter("url_obj_id is not null"), spec)
+    index, table, rejects = (keyed.read(spark, root, sink) for sink in sinks)
+    assert rows(table.select(want.columns)) == rows(want) and table.count() == 2
+    assert index.count() == 3 and rejects.count() == 2
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
