@@ -38,7 +38,7 @@ RADIX = 32
 # bodies that one task reads with the counts of their partition
 SLICE_RUNS = 32
 # units a worker remembers
-CACHED_UNITS = 150_000
+CACHED_UNITS = 60_000
 # new units that are encoded in one call
 CALL_UNITS = 200
 _SAFE = "!-~À-ɏ"
@@ -202,6 +202,11 @@ def _aligner(*of: str | int) -> Aligner:
     return _aligners[of]
 
 
+def _release() -> None:
+    """A worker that goes on to other tasks keeps no aligner."""
+    _aligners.clear()
+
+
 def _spilled(chunk: int, links: list[np.ndarray], times: list[np.ndarray], radix: int) -> pa.RecordBatch:
     """The runs of a chunk's records, a row for each radix partition."""
     docs = np.repeat(np.arange(len(links), dtype=np.uint64), [len(p) for p in links])
@@ -260,6 +265,7 @@ def pair_counts(encoded: DataFrame, radix: int = RADIX, fan_in: int = runs.FAN_I
     heads = encoded.where("radix is not null").select(F.col("radix").cast("long").alias("part"), F.col("chunk").alias("run"), F.col("head").alias("data"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 b, a, count = runs.unpack(data.as_py())
@@ -282,6 +288,7 @@ def contributions(encoded: DataFrame, counts: DataFrame, slice_runs: int = SLICE
     right = counts.select(F.col("part").cast("int").alias("radix"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "data")
 
     def run(bodies: pa.Table, totals: pa.Table) -> pa.Table:
+        _release()
         out = {"chunk": [], "doc_no": [], "n_best": [], "count_sum": []}
         if len(bodies):
             b, a, count, best = runs.unpack(totals.column("data")[0].as_py())
