@@ -46,7 +46,7 @@ SKIP_BLOCK = 16
 # rounds of centres; what is then still in long lists is compared pair by pair, in tasks that Spark splits
 ROUNDS = 6
 # pairs in long lists that are compared without a centre, being few
-PLAIN_PAIRS = 20_000
+PLAIN_PAIRS = 200_000
 # of a set's parity bitmap
 BITS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
