@@ -284,8 +284,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, gram_words: int, percent: int)
 
 def _near_enough(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """The pairs that parities do not rule out."""
-    x = vertices.select(F.col("id").alias("a"), F.col("bits").alias("x"), "n")
-    y = vertices.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+    pairs = written(pairs, "candidates")
+    # only the parities of these pairs move
+    needed = sized(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    some = vertices.select("id", "n", "bits").join(needed, "id", "left_semi")
+    x = some.select(F.col("id").alias("a"), F.col("bits").alias("x"), "n")
+    y = some.select(F.col("id").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda done, k: done + k)
     both = F.col("n") + F.col("m")
     return pairs.join(x, "a").join(y, "b").where((both - differ) * (100 + percent) >= 2 * percent * both).select("a", "b")
