@@ -14,7 +14,7 @@ from shelfspark.plans.page_plans import LINKS_SQL
 from shelfspark.plans.record_plans import ACCEPTED_ISHARE, SITE_SQL, site_pages
 from shelfspark.schemas import PAGES, SOURCES
 from shelfspark.session import scratch_path
-from shelfspark.sources.pages import stream_files
+from shelfspark.sources.pages import stream_table
 from shelfspark.streaming import jobs
 
 
@@ -42,7 +42,7 @@ def first_seen_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_hot_keywords(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "scores")
-    events = stream_files(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+    events = stream_table(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
     log = events.select(F.get_json_object("props", "$.k").alias("keyword"))
     _finish(jobs.start_keyword_scores(log, root))
     return ranking.hot_keywords(jobs.read_keyword_scores(spark, root))
@@ -50,7 +50,7 @@ def stream_hot_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_new_links(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "links")
-    pages = stream_files(spark, sf, PAGES, "pages.parquet")
+    pages = stream_table(spark, f"{sf}/pages.parquet", PAGES)
     links = extract_links(pages).select(urls.resolve_link(F.col("url"), F.col("href")).alias("url"))
     _finish(jobs.start_new_links(links, root))
     return jobs.read_new_links(spark, root)
@@ -58,7 +58,7 @@ def stream_new_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     root, spec = scratch_path(spark, "ingest"), SOURCES["ishare"]
-    pages = site_pages(stream_files(spark, sf, PAGES, "pages.parquet"), spec.site)
+    pages = site_pages(stream_table(spark, f"{sf}/pages.parquet", PAGES), spec.site)
     _finish(jobs.start_ingest(pages, spec, root, NOW))
     return current_table(spark, root, spec).select(
         "url_obj_id", "title", "upload_people", "load_num", "read_num", "comment_num", "upload_time", "type")

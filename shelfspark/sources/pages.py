@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from shelfspark.operators.links import clean_fingerprints
 from shelfspark.schemas import PAGES
+from shelfspark.sources.manifest import files_at
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -25,6 +26,15 @@ def stream_files(spark: SparkSession, folder: str, schema: T.StructType,
             .parquet(folder))
 
 
+def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """A table as a stream, whether it is one Parquet file or a folder of part files."""
+    files, at = files_at(spark, path)
+    if files.getFileStatus(at).isDirectory():
+        # as a scan does, all files count that are not hidden
+        return stream_files(spark, path, schema, "*", files_per_batch)
+    return stream_files(spark, path.rstrip("/").rpartition("/")[0] or ".", schema, at.getName(), files_per_batch)
+
+
 def scan_seen(spark: SparkSession, path: str) -> DataFrame:
     """A seen file: one fingerprint per line, any mix of CR and LF at the end."""
     return clean_fingerprints(spark.read.text(path))

@@ -9,6 +9,7 @@ from shelfspark.operators.extract import extract_fields
 from shelfspark.operators.records import build_ishare
 from shelfspark.operators.tables import accepted, conform, current_index, current_table, read_sink, upsert
 from shelfspark.plans.record_plans import site_pages
+from shelfspark.plans import ranking_plans
 from shelfspark.schemas import PAGES, SOURCES
 from shelfspark.sources.pages import stream_files
 from shelfspark.streaming import jobs
@@ -93,3 +94,22 @@ def test_ingest_equals_batch_upsert(spark, feed, tmp_path):
     assert current_index(spark, root, spec).count() == 3
     faults = {r.seq: (r.reject, r.sink) for r in read_sink(spark, root, spec, "rejects").collect()}
     assert faults[4] == ("long:title", "table") and faults[7][1] == "index"
+
+
+@pytest.mark.parametrize("name", ["stream_new_links", "stream_ingest", "stream_hot_keywords"])
+def test_stream_queries_read_a_table_of_part_files(spark, tmp_path, name):
+    pages = spark.createDataFrame([(i, f"http://a.com/{i}", f"<h1>t{i}</h1><article>x</article><a href='/x{i % 3}'>x</a>") for i in range(8)],
+                                  "page_id bigint, url string, html string")
+    events = spark.createDataFrame([(i, f'{{"k": "w{i % 3}"}}') for i in range(8)], "user_id bigint, props string")
+    for folder, parts in (("one", 1), ("many", 4)):
+        for table, df in (("pages", pages), ("events", events)):
+            to = tmp_path / folder / f"{table}.parquet"
+            if parts == 1:
+                written = tmp_path / f"{table}-written"
+                df.coalesce(1).write.parquet(str(written))
+                to.parent.mkdir(exist_ok=True)
+                next(written.glob("part-*.parquet")).rename(to)
+            else:
+                df.repartition(parts).write.parquet(str(to))
+    one, many = (rows(ranking_plans.QUERIES[name](spark, str(tmp_path / folder))) for folder in ("one", "many"))
+    assert one and one == many
