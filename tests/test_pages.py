@@ -5,6 +5,7 @@ import subprocess
 import sys
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text
@@ -145,3 +146,11 @@ def test_next_pages_long_and_circular(spark):
     want = {("p0", f"p{i}"): i for i in range(38)} | {("p30", f"p{i}"): i - 30 for i in range(30, 38)}
     want |= {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("z", "z"): 0}
     assert got == want
+
+
+def test_a_batch_of_pages_leaves_in_small_parts():
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(100)), "html": [None if i == 7 else f"<h1>t{i}</h1>" for i in range(100)]})
+    parts = list(extract._cut_parts(iter([batch]), [("title", "text", "h1")], ["page_id"], "html", ["page_id", "title"]))
+    assert max(p.num_rows for p in parts) == extract.PAGES_AT_ONCE
+    made = pa.Table.from_batches(parts).to_pylist()
+    assert made == [{"page_id": i, "title": [] if i == 7 else [f"t{i}"]} for i in range(100)]
