@@ -265,3 +265,20 @@ def test_walk_of_many_levels_keeps_its_plan(spark):
     assert {r.url: r.depth for r in out.collect()} == {f"p{i}": i for i in range(41)}
     # one scan of the visited pages, whatever the depth
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_pairs_are_added_up_where_postings_are_dealt_by_document(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} w{i % 7}") for i in range(200)], "doc_id bigint, title string")
+    index = indexing.write_index(docs, {"title": "fine"}, str(tmp_path / "dealt"), stored=["title"], buckets=2)
+    queries = spark.createDataFrame([(i, f"w{i % 4} w{i % 6}") for i in range(20)], "query_id bigint, text string")
+    terms = search._weighted_terms(queries, index, ["title"], "fine")
+    monkeypatch.setattr(search, "PAIRS_A_TASK", 50)
+    dealt, plain = search._postings_by_document(terms, index), search._postings_of(terms, index)
+    pairs = plain.count()
+    assert dealt.rdd.getNumPartitions() >= pairs // 50 > 8
+    parts = dealt.select("query_id", "doc_id", F.spark_partition_id().alias("part"))
+    assert parts.select("doc_id", "part").distinct().count() == parts.select("doc_id").distinct().count()
+    assert sorted(map(tuple, dealt.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    hits = search.search(queries, index, ["title"])
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, search.search(queries, index, ["title"]).collect()))
