@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,7 +116,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame],
                         prepare: Callable[[DataFrame], None] | None = None,
-                        deal_again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                        deal_again: Callable[[DataFrame], DataFrame] | None = None,
+                        sketches: Callable[[], DataFrame] | None = None,
+                        possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Components of all ids that share a bucket and pass `verified`, without all pairs of a bucket.
 
     members(bucket..., id): `bucket` is one column.  `verified` takes distinct pairs
@@ -128,6 +131,9 @@ def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], Data
     `deal_again` gives the ids of buckets with more than HOT_PARTS components new, narrower buckets
     instead, where alike but unlinked members are many.  Of these ids, pairs that meet in the narrower buckets
     count, not those of the bucket they came from, so a link must meet there as surely.
+    `sketches` gives (id, sketch) of all ids that `prepare` saw, and `possible` says of two sketches whether they can be
+    a link; it must never be false for one.  Other pairs are then not formed, and of the rest each id's smallest
+    partner is verified first, then only what lies in two components still.
     Returns (id, root) for linked ids.
     """
     sizes = members.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
@@ -143,11 +149,23 @@ def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], Data
         hot = _parts(placed).where(F.col("parts") > HOT_PARTS).select("bucket")
         of_hot = written(placed.join(hot, "bucket").select("id", "root").distinct(), "hot-members")
         again = written(deal_again(of_hot.select("id")).join(of_hot, "id").select("bucket", "id", "root"), "dealt-again")
-        cross = _cross(placed.join(hot, "bucket", "left_anti")).unionByName(_cross(again)).distinct()
+        apart = [placed.join(hot, "bucket", "left_anti"), again]
     else:
-        cross = _cross(placed)
-    second = written(verified(cross), "cross")
-    return components(first.unionByName(second))
+        apart = [placed]
+    of_ids = sketches() if sketches else None
+    cross = reduce(DataFrame.unionByName, [_cross(p, of_ids, possible) for p in apart])
+    cross = cross.distinct() if len(apart) > 1 else cross
+    if of_ids is None:
+        return components(first.unionByName(written(verified(cross), "cross")))
+    cross = written(cross, "cross-pairs")
+    nearest = written(cross.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
+    first = written(first.unionByName(verified(nearest)), "first-links")
+    roots = written(components(first), "first-roots")
+    a = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+    b = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    rest = written(cross.join(nearest, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+                   .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "still-apart")
+    return components(first.unionByName(written(verified(rest), "cross")))
 
 
 def _parts(placed: DataFrame) -> DataFrame:
@@ -157,12 +175,18 @@ def _parts(placed: DataFrame) -> DataFrame:
             .where("parts > 1").select("bucket", F.col("top.root").alias("top"), "parts"))
 
 
-def _cross(placed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket and two components; no pair lies inside a bucket's largest component."""
+def _cross(placed: DataFrame, sketches: DataFrame | None = None, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket and two components; no pair lies inside a bucket's largest component.
+
+    With sketches, only the pairs whose sketches can be a link.
+    """
     split = placed.join(_parts(placed).drop("parts"), "bucket")
-    outside = split.where("root <> top").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    inside = split.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("main"))
-    return (outside.join(inside, "bucket").where("ra <> rb and (main or a < b)")
+    split = split.withColumn("sketch", F.lit(None)) if sketches is None else split.join(sketches, "id")
+    outside = split.where("root <> top").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    inside = split.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("main"),
+                          F.col("sketch").alias("sb"))
+    fits = F.lit(True) if possible is None else possible(F.col("sa"), F.col("sb"))
+    return (outside.join(inside, "bucket").where("ra <> rb and (main or a < b)").where(fits)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 

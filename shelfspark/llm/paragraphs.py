@@ -16,6 +16,7 @@ pick to the end of the next, are removed but for the first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ NARROW_ROWS = 16
 # shorter paragraphs, such as titles and license lines, are never removed
 LEAST_WORDS = 20
 SEED = 42
+# parities of a paragraph's shingles
+SKETCH_BITS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 # shingles that are hashed at once
 BLOCK = 1 << 16
@@ -274,6 +277,40 @@ def _banded(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
     return banded.mapInArrow(run, "bucket long, id long").distinct()
 
 
+def _sketched(texts: DataFrame) -> DataFrame:
+    """texts(id, words) with `sketch`: the number of distinct shingles, and SKETCH_BITS parities of how many lie at each place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bits = [], []
+            # hashes of whole words, so that equal shingles are equal numbers and cancel out between two texts
+            for words in batch.column(2):
+                words = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                made = np.zeros(len(words) - SHINGLE_WORDS + 1, np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(SHINGLE_WORDS):
+                        made = made * _BASE + words[k:len(words) - SHINGLE_WORDS + 1 + k]
+                    made = np.unique(_mixed(made))
+                counts = np.bincount((made & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+                n.append(len(made))
+                bits.append(np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64))
+            offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
+            flat = np.concatenate(bits) if bits else np.empty(0, np.int64)
+            sketch = pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch], ["id", "words", "sketch"])
+
+    return texts.select("id", "words", _hashes(F.split("words", " ")).alias("hashes")) \
+        .mapInArrow(run, "id long, words string, sketch struct<n:int,bits:array<long>>")
+
+
+def may_be_alike(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two sketches can be of texts with so high a Jaccard similarity.
+
+    Two sets differ in at least as many shingles as parities; of the sum of their sizes the share (1 - similarity) / (1 + similarity) may differ.
+    """
+    differ = reduce(Column.__add__, [F.bit_count(F.get(x["bits"], F.lit(i)).bitwiseXOR(F.get(y["bits"], F.lit(i)))) for i in range(SKETCH_BITS // 64)])
+    return differ * (1 + similarity) <= (x["n"] + y["n"]) * (1 - similarity) + 1e-6
+
+
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -308,7 +345,8 @@ def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity:
                 yield batch.filter(pa.array(may_hold(bits, batch.column(0).to_numpy())))
 
         some = texts.select("id", "words").mapInArrow(run, "id long, words string").join(ids, "id", "left_semi")
-        held.append(written(some.groupBy("id").agg(F.first("words").alias("words")), "colliding-texts"))
+        one = some.groupBy("id").agg(F.first("words").alias("words"))
+        held.append(written(_sketched(one), "colliding-texts"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +362,8 @@ def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity:
         some = held[0].join(ids, "id", "left_semi")
         return _banded(some.select("id", _hashes(F.split("words", " ")).alias("hashes")), NARROW_BANDS, NARROW_ROWS)
 
-    roots = link_within_buckets(members, verified, prepare, narrow)
+    roots = link_within_buckets(members, verified, prepare, narrow, lambda: held[0].select("id", "sketch"),
+                                lambda x, y: may_be_alike(x, y, similarity))
     placed = written(with_components(rows, roots, "pid"), "placed")
     first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "row_id", "idx")).alias("first"))
     marked = placed.join(first, "root").select(

@@ -74,6 +74,34 @@ def test_many_variants_of_one_paragraph(spark, monkeypatch):
     assert got == slow(rows) and got
 
 
+def test_variants_that_are_not_alike_make_no_pairs(spark, monkeypatch):
+    """Texts with one common base that meet in buckets, but differ too much, are not compared pair by pair."""
+    asked = []
+    plain = P.link_within_buckets
+
+    def counting(members, verified, *rest):
+        def run(pairs):
+            asked.append(pairs.count())
+            return verified(pairs)
+        return plain(members, run, *rest)
+
+    monkeypatch.setattr(P, "link_within_buckets", counting)
+    rng = random.Random(29)
+    rows = []
+    for i in range(150):
+        words = [f"b{k}" for k in range(60)]
+        for at in rng.sample(range(10, 50, 6), 2):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    # two that are alike
+    rows.append((150, rows[7][1] + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["idx"]) for r in P.repeated_paragraphs(df).where("removed").collect())
+    assert got == slow(rows) and (150, 0) in got
+    # the first of each bucket with all others, then what may be a link
+    assert sum(asked[1:]) < 50, asked
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
