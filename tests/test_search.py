@@ -282,3 +282,32 @@ def test_pairs_are_added_up_where_postings_are_dealt_by_document(spark, tmp_path
     hits = search.search(queries, index, ["title"])
     monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, search.search(queries, index, ["title"]).collect()))
+
+
+def test_many_queries_are_asked_in_groups_and_equal_ones_once(spark, built, monkeypatch):
+    """More terms than one broadcast: no word meets all its queries in one task; queries that ask the same are ranked once."""
+    rows, queries, index = built
+    asked, plain = [], []
+    score, by_word = search.score, search._postings_of
+
+    def counting(some, *rest):
+        asked.append(some.count())
+        return score(some, *rest)
+
+    def seen(*args, **kwargs):
+        plain.append(args)
+        return by_word(*args, **kwargs)
+
+    monkeypatch.setattr(search, "score", counting)
+    monkeypatch.setattr(search, "_postings_of", seen)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 60)
+    again = [(100 + q, text) for q, text in queries]
+    # two rows of one id are one query of both texts; an unnamed one has no hits
+    mixed = [(300, "hot w1"), (300, "hot w2"), (301, "w3"), (301, "w3"), (None, "hot")]
+    df = spark.createDataFrame(queries + again + mixed, "query_id bigint, text string")
+    got = pages_of(search.search(df, index, ("title", "tag"), size=10).distinct())
+    want = ranking(rows, queries, ("title", "tag"))
+    for q, text in queries:
+        assert got.get(q, []) == got.get(100 + q, []) == want[q][:10]
+    assert set(got) == {q for q in want if want[q]} | {100 + q for q in want if want[q]} | {300, 301}
+    assert asked == [len(set(t for _, t in queries)) + 4] and not plain
