@@ -38,7 +38,7 @@ RADIX = 32
 # bodies that one task reads with the counts of their partition
 SLICE_RUNS = 32
 # units a worker remembers
-CACHED_UNITS = 60_000
+CACHED_UNITS = 500_000
 # new units that are encoded in one call
 CALL_UNITS = 200
 _SAFE = "!-~À-ɏ"
@@ -165,8 +165,11 @@ class Aligner:
                 out[-1] += " " + part
         return out
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[Aligned, np.ndarray, np.ndarray]]:
-        """(alignment, distinct links, how often each) of each text."""
+    def __call__(self, texts: list[str]) -> list[tuple[Aligned, np.ndarray, np.ndarray]]:
+        """(alignment, distinct links, how often each) of each text.
+
+        A list: what lies behind the last `yield` of a generator does not run where its reader stops at the last text.
+        """
         room = self.cached_units - len(self.known)
         marks, known = self.marks, self.known
         cut = [[(u[:-1], u[-1]) if u[-1:] in marks and u[-2:-1] in _LETTER else (u, None) for u in self.units(t)] if t and self.apart else []
@@ -174,6 +177,7 @@ class Aligner:
         fresh = {u for units in cut for u, _ in units}.difference(known)
         if fresh:
             self._learn(list(fresh))
+        made = []
         for text, units in zip(texts, cut):
             parts = []
             for unit, mark in units:
@@ -185,10 +189,11 @@ class Aligner:
             else:
                 n_a, n_b, n_groups, ids, links = zip(*parts)
                 all_of = Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(ids), b"".join(links))
-            yield all_of, *np.unique(np.frombuffer(all_of.links, np.uint64), return_counts=True)
+            made.append((all_of, *np.unique(np.frombuffer(all_of.links, np.uint64), return_counts=True)))
         # of the new units those that fit stay, those met first: frequent ones come early
         for unit in sorted(fresh, key=len)[max(room, 0):]:
             del self.known[unit]
+        return made
 
 
 _aligners: dict[tuple, Aligner] = {}

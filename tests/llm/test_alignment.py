@@ -125,3 +125,13 @@ def test_merging_splits_large_partitions(spark):
             assert int(k) not in got
             got[int(k)] = int(n)
     assert got == total
+
+
+def test_a_worker_remembers_no_more_units_than_it_may():
+    aligner = alignment.Aligner(A, B, 50)
+    texts = [" ".join(f"word{i * 20 + k}" for k in range(20)) for i in range(10)]
+    for first in (0, 5):
+        # as a task reads them: the texts end before the alignments
+        for text, (found, _, _) in zip(texts[first:first + 5], aligner(texts[first:first + 5])):
+            assert found == aligner.whole(text)
+        assert len(aligner.known) == 50
