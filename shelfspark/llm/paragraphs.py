@@ -46,12 +46,21 @@ RUN_WORDS = 20
 PICK_WINDOW = 31
 # keys that a task holds before it adds them up
 HELD_KEYS = 1 << 20
+# rows of an Arrow batch that a task works on at once, whatever the session's batches hold
+SOME_ROWS = 512
 # bytes whose words are hashed at once
 BUFFER = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SOME_ROWS rows: what is made of a row is many times as large as the row."""
+    for batch in batches:
+        for first in range(0, len(batch), SOME_ROWS):
+            yield batch.slice(first, SOME_ROWS)
+
+
 def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -112,7 +121,7 @@ def _word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
     def hashed(parts: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
         bounds = np.cumsum([1] + [len(p) + 1 for p in parts])
-        powers, inverses = _power_tables(max(len(data), BUFFER * 2))
+        powers, inverses = _power_tables(max(len(data), BUFFER * 2 - 1))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLE[data] * powers[: len(data)], out=sums[1:])
         space = _SPACE[data]
@@ -156,7 +165,7 @@ def picked_runs(words: np.ndarray, shared: np.ndarray | None = None) -> tuple[np
     keep = np.ones(len(at), bool) if shared is None else may_hold(shared, runs.view(np.int64))
     both = np.flatnonzero(keep[:-1] & keep[1:])
     with np.errstate(over="ignore"):
-        _, inverses = _power_tables(max(len(words), BUFFER * 2))
+        _, inverses = _power_tables(max(len(words), BUFFER * 2 - 1))
         begin, end = at[both], at[both + 1] + RUN_WORDS
         sizes = end - begin
         stretches = _mixed((sums[end] - sums[begin]) * inverses[begin] + sizes.astype(np.uint64))
@@ -170,7 +179,7 @@ def _picks(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        powers, inverses = _power_tables(max(len(words), BUFFER * 2))
+        powers, inverses = _power_tables(max(len(words), BUFFER * 2 - 1))
         sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * powers[: len(words)], out=sums[1:])
         runs = _mixed((sums[RUN_WORDS:] - sums[:-RUN_WORDS]) * inverses[:n])
@@ -191,7 +200,7 @@ def _shared_runs(docs: DataFrame, text_col: str) -> np.ndarray:
             # twice is as good as often
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["key", "n"])
 
-        for batch in batches:
+        for batch in _some(batches):
             for words in _word_hashes([t.as_py().lower().encode("utf-8", "surrogatepass") for t in batch.column(0)]):
                 held.append(_picks(words)[1])
                 size += len(held[-1])
@@ -218,7 +227,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, shared: np.ndarray | Non
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("place", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64())])
-        for batch in batches:
+        for batch in _some(batches):
             texts = [t.as_py().lower().encode("utf-8", "surrogatepass") for t in batch.column(2)]
             made = [picked_runs(words, shared) for words in _word_hashes(texts)]
             place, n_words, key = (np.concatenate([m[k] for m in made]) if made else np.empty(0, np.int64) for k in range(3))
@@ -246,12 +255,12 @@ def _bands(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            some = batch.take(pa.array(first))
-            keys = band_keys(some.column(1), bands, band_rows)
-            with np.errstate(over="ignore"):
-                flat = keys.values.to_numpy().view(np.uint64).reshape(-1, bands) + np.arange(bands, dtype=np.uint64) * _BASE
-                named = _mixed(flat).view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(keys.offsets, pa.array(named))], ["id", "buckets"])
+            for some in _some([batch.take(pa.array(first))]):
+                keys = band_keys(some.column(1), bands, band_rows)
+                with np.errstate(over="ignore"):
+                    flat = keys.values.to_numpy().view(np.uint64).reshape(-1, bands) + np.arange(bands, dtype=np.uint64) * _BASE
+                    named = _mixed(flat).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(keys.offsets, pa.array(named))], ["id", "buckets"])
 
     return texts.mapInArrow(run, "id long, buckets array<long>")
 
@@ -268,7 +277,7 @@ def _banded(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
     shared = key_filter(written(several, "shared-buckets"), "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             flat = batch.column(1).flatten().to_numpy()
             keep = may_hold(shared, flat)
             owner = np.repeat(batch.column(0).to_numpy(), bands)[keep]
@@ -280,7 +289,7 @@ def _banded(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
 def _sketched(texts: DataFrame) -> DataFrame:
     """texts(id, words) with `sketch`: the number of distinct shingles, and SKETCH_BITS parities of how many lie at each place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             n, bits = [], []
             # hashes of whole words, so that equal shingles are equal numbers and cancel out between two texts
             for words in batch.column(2):
@@ -349,7 +358,7 @@ def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity:
         held.append(written(_sketched(one), "colliding-texts"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             same = [jaccard(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
@@ -386,7 +395,7 @@ def _removed_passages(parts: DataFrame) -> DataFrame:
         (F.col("row_id") != F.col("first.row_id")) | (F.col("place") >= F.col("first.place") + F.col("n_words")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             made = []
             for items in batch.column(1).to_pylist():
                 spans: list[list[int]] = []

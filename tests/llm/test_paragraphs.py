@@ -2,6 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from shelfspark.llm import paragraphs as P
 from tests.conftest import SMALL
@@ -147,3 +151,25 @@ def test_narrow_bands_miss_no_more():
     for similarity in (0.8, 0.81, 0.82, 0.85, 0.9, 0.95):
         wide = (1 - similarity ** P.BAND_ROWS) ** P.BANDS
         assert (1 - similarity ** P.NARROW_ROWS) ** P.NARROW_BANDS <= wide
+
+
+def test_bands_of_a_large_batch_are_made_in_parts():
+    class Task:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    rng = np.random.default_rng(5)
+    n, bands = 3_000, P.NARROW_BANDS
+    hashes = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * 30, 30, dtype=np.int32)), pa.array(rng.integers(-1 << 62, 1 << 62, n * 30)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n) % 2_900), hashes], ["id", "hashes"])
+    run = P._bands(Task(), bands, P.NARROW_ROWS)
+    tracemalloc.start()
+    ids, made = [], []
+    for part in run(iter([batch])):
+        assert len(part) <= P.SOME_ROWS
+        ids += part.column(0).to_pylist()
+        made.append(len(part.column(1).flatten()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(2_900)) and sum(made) == 2_900 * bands
+    assert peak < 2_900 * bands * 8
