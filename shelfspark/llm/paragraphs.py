@@ -220,34 +220,53 @@ def _lines(text: Column) -> Column:
     return F.filter(lines, lambda s: F.size(s["words"]) >= LEAST_WORDS)
 
 
-def _parts(docs: DataFrame, id_col: str, text_col: str, shared: np.ndarray | None = None) -> DataFrame:
-    """(row_id, doc_id, idx, n_words, pid, place, key): each long line (idx, pid), each picked run and stretch (place, key).
+def _pages(docs: DataFrame, id_col: str, text_col: str, shared: np.ndarray | None = None) -> DataFrame:
+    """(row_id, doc_id, lines, bands, runs): one row per row of `docs`, whose texts are cut into lines and hashed once for all three.
 
-    With a filter of shared runs, those it holds alone. A document without any gives one row of nulls.
+    lines: (idx, n_words, pid) of the long lines; bands: (id, buckets) of their kinds, equal lines of a batch once;
+    runs: (place, n_words, key) of the picked runs and stretches, with a filter of shared runs those it holds alone.
     """
+    line = pa.struct([("idx", pa.int32()), ("n_words", pa.int32()), ("pid", pa.int64())])
+    band = pa.struct([("id", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+    kind = pa.struct([("place", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("place", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64())])
         for batch in _some(batches):
+            ends = batch.column(3).offsets.to_numpy()
+            each = batch.column(3).flatten()
+            lines = pa.StructArray.from_arrays([each.field(name) for name in ("idx", "n_words", "pid")], fields=list(line))
+            line_ends = pa.array(ends - ends[0])
+            _, first = np.unique(each.field("pid").to_numpy(), return_index=True)
+            first.sort()
+            buckets = _buckets(each.field("hashes").take(pa.array(first)), BANDS, BAND_ROWS)
+            bands = pa.StructArray.from_arrays([each.field("pid").take(pa.array(first)), buckets], fields=list(band))
+            band_ends = np.searchsorted(first, ends - ends[0]).astype(np.int32)
             texts = [t.as_py().lower().encode("utf-8", "surrogatepass") for t in batch.column(2)]
             made = [picked_runs(words, shared) for words in _word_hashes(texts)]
             place, n_words, key = (np.concatenate([m[k] for m in made]) if made else np.empty(0, np.int64) for k in range(3))
-            items = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(n_words, pa.int32()), pa.array(key, pa.int64())],
-                                               fields=list(kind))
-            offsets = np.concatenate(([0], np.cumsum([len(m[0]) for m in made]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), items)],
-                                             ["row_id", "doc_id", "text", "runs"])
-
+            runs = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(n_words, pa.int32()), pa.array(key, pa.int64())],
+                                              fields=list(kind))
+            run_ends = np.concatenate(([0], np.cumsum([len(m[0]) for m in made]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(line_ends, lines),
+                                              pa.ListArray.from_arrays(pa.array(band_ends), bands),
+                                              pa.ListArray.from_arrays(pa.array(run_ends), runs)], ["row_id", "doc_id", "lines", "bands", "runs"])
+
+    hashed = F.transform(_lines(F.col("text")), lambda s: F.struct(s["idx"].alias("idx"), _hashes(s["words"]).alias("hashes")))
+    lines = F.transform(hashed, lambda s: F.struct(
+        s["idx"].alias("idx"), F.size(s["hashes"]).alias("n_words"), F.xxhash64(s["hashes"]).alias("pid"), s["hashes"].alias("hashes")))
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
-                           text_or_empty(text_col).alias("text")) \
-        .mapInArrow(run, "row_id long, doc_id long, text string, runs array<struct<place:int,n_words:int,key:long>>")
-    none = lambda kind: F.lit(None).cast(kind)
-    lines = F.transform(_lines(F.col("text")), lambda s: F.struct(
-        s["idx"].alias("idx"), F.size(s["words"]).alias("n_words"), F.xxhash64(_hashes(s["words"])).alias("pid"),
-        none("int").alias("place"), none("long").alias("key")))
-    runs = F.transform("runs", lambda s: F.struct(
-        none("int").alias("idx"), s["n_words"].alias("n_words"), none("long").alias("pid"),
-        s["place"].alias("place"), s["key"].alias("key")))
-    return numbered.select("row_id", "doc_id", F.explode_outer(F.concat(lines, runs)).alias("p")).select("row_id", "doc_id", "p.*")
+                           text_or_empty(text_col).alias("text"))
+    return written(numbered.select("row_id", "doc_id", "text", lines.alias("lines")).mapInArrow(
+        run, "row_id long, doc_id long, lines array<struct<idx:int,n_words:int,pid:long>>, "
+             "bands array<struct<id:long,buckets:array<long>>>, runs array<struct<place:int,n_words:int,key:long>>"), "paragraphs")
+
+
+def _buckets(hashes: pa.ListArray, bands: int, band_rows: int) -> pa.ListArray:
+    """A number for each band of each list of hashes."""
+    keys = band_keys(hashes, bands, band_rows)
+    with np.errstate(over="ignore"):
+        flat = keys.values.to_numpy().view(np.uint64).reshape(-1, bands) + np.arange(bands, dtype=np.uint64) * _BASE
+        return pa.ListArray.from_arrays(keys.offsets, pa.array(_mixed(flat).view(np.int64).ravel()))
 
 
 def _bands(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
@@ -256,21 +275,16 @@ def _bands(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
         for batch in batches:
             _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             for some in _some([batch.take(pa.array(first))]):
-                keys = band_keys(some.column(1), bands, band_rows)
-                with np.errstate(over="ignore"):
-                    flat = keys.values.to_numpy().view(np.uint64).reshape(-1, bands) + np.arange(bands, dtype=np.uint64) * _BASE
-                    named = _mixed(flat).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(keys.offsets, pa.array(named))], ["id", "buckets"])
+                yield pa.RecordBatch.from_arrays([some.column(0), _buckets(some.column(1), bands, band_rows)], ["id", "buckets"])
 
     return texts.mapInArrow(run, "id long, buckets array<long>")
 
 
-def _banded(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
-    """(bucket, id): texts(id, hashes) in those buckets of their bands that hold several.
+def _members(banded: DataFrame, bands: int) -> DataFrame:
+    """(bucket, id): the ids of banded(id, buckets) in those buckets that hold several.
 
-    The bands are written, and counted without their texts; then only rows of shared buckets are made.
+    `banded` is a written table.  Buckets are counted without their texts; then only rows of shared buckets are made.
     """
-    banded = written(_bands(texts, bands, band_rows), "bands")
     # two texts differ in the low half of their hashes too, but for one pair in 2 ** 32
     each = banded.select(F.explode("buckets").alias("bucket"), F.col("id").bitwiseAND(0xFFFFFFFF).alias("part"))
     several = each.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
@@ -283,7 +297,7 @@ def _banded(texts: DataFrame, bands: int, band_rows: int) -> DataFrame:
             owner = np.repeat(batch.column(0).to_numpy(), bands)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(owner)], ["bucket", "id"])
 
-    return banded.mapInArrow(run, "bucket long, id long").distinct()
+    return banded.select("id", "buckets").mapInArrow(run, "bucket long, id long").distinct()
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
@@ -333,15 +347,14 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     idx counts lines from 0.  A document without long paragraphs (null or empty texts too)
     gives one row whose idx is null.  Rows without a doc_id stand before all others.
     """
-    return _removed_lines(written(_parts(docs, id_col, text_col), "paragraphs"), docs, text_col, similarity)
+    return _removed_lines(_pages(docs, id_col, text_col), docs, text_col, similarity)
 
 
-def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    rows = parts.where("pid is not null").select("row_id", "doc_id", "idx", "n_words", "pid")
+def _removed_lines(pages: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    rows = pages.select("row_id", "doc_id", F.explode("lines").alias("p")).select("row_id", "doc_id", "p.*")
     words = docs.select(F.explode(_lines(text_or_empty(text_col))).alias("p")).select("p.words")
-    texts = words.select(_hashes(F.col("words")).alias("hashes"), F.concat_ws(" ", "words").alias("words")) \
-        .select(F.xxhash64("hashes").alias("id"), "hashes", "words")
-    members = _banded(texts.select("id", "hashes"), BANDS, BAND_ROWS)
+    texts = words.select(F.xxhash64(_hashes(F.col("words"))).alias("id"), F.concat_ws(" ", "words").alias("words"))
+    members = _members(pages.select(F.explode("bands").alias("b")).select("b.id", "b.buckets"), BANDS)
     held: list[DataFrame] = []
 
     def prepare(ids: DataFrame) -> None:
@@ -369,7 +382,8 @@ def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity:
 
     def narrow(ids: DataFrame) -> DataFrame:
         some = held[0].join(ids, "id", "left_semi")
-        return _banded(some.select("id", _hashes(F.split("words", " ")).alias("hashes")), NARROW_BANDS, NARROW_ROWS)
+        hashed = some.select("id", _hashes(F.split("words", " ")).alias("hashes"))
+        return _members(written(_bands(hashed, NARROW_BANDS, NARROW_ROWS), "bands"), NARROW_BANDS)
 
     roots = link_within_buckets(members, verified, prepare, narrow, lambda: held[0].select("id", "sketch"),
                                 lambda x, y: may_be_alike(x, y, similarity))
@@ -378,15 +392,15 @@ def _removed_lines(parts: DataFrame, docs: DataFrame, text_col: str, similarity:
     marked = placed.join(first, "root").select(
         "row_id", "doc_id", "idx", "n_words", F.col("root").alias("component_id"),
         (F.struct("row_id", "idx") != F.struct("first.row_id", "first.idx")).alias("removed"))
-    none = (parts.groupBy("row_id", "doc_id").agg(F.max("pid").alias("pid")).where("pid is null")
-            .select("row_id", "doc_id", F.lit(None).cast("int").alias("idx"), F.lit(0).alias("n_words"),
-                    F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("removed")))
+    none = pages.where(F.size("lines") == 0).select(
+        "row_id", "doc_id", F.lit(None).cast("int").alias("idx"), F.lit(0).alias("n_words"),
+        F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("removed"))
     return marked.unionByName(none)
 
 
-def _removed_passages(parts: DataFrame) -> DataFrame:
+def _removed_passages(pages: DataFrame) -> DataFrame:
     """(row_id, passages): runs of words (first, n_words) that repeat an earlier one, by (doc_id, row, place)."""
-    runs = parts.where("key is not null").select("row_id", "doc_id", "place", "n_words", "key")
+    runs = pages.select("row_id", "doc_id", F.explode("runs").alias("r")).select("row_id", "doc_id", "r.*")
     shared = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = written(runs.join(shared, "key"), "shared-runs")
     first = shared.groupBy("key").agg(F.min(F.struct("doc_id", "row_id", "place")).alias("first"))
@@ -419,11 +433,11 @@ def paragraph_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     removed: the lines to remove; components: of the document's long paragraphs, in order of their lines;
     passages: the words (first, n_words) to remove, counted from 0 over all lines, long or short.
     """
-    parts = written(_parts(docs, id_col, text_col, _shared_runs(docs, text_col)), "paragraphs")
-    found = _removed_lines(parts, docs, text_col, similarity)
+    pages = _pages(docs, id_col, text_col, _shared_runs(docs, text_col))
+    found = _removed_lines(pages, docs, text_col, similarity)
     listed = F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "component_id", "removed"))))
     rows = found.groupBy("row_id", "doc_id").agg(listed.alias("p"))
-    return rows.join(_removed_passages(parts), "row_id", "left").select(
+    return rows.join(_removed_passages(pages), "row_id", "left").select(
         "doc_id", F.size("p").cast("long").alias("n_paragraphs"),
         F.size(F.filter("p", lambda s: s["removed"])).cast("long").alias("n_removed"),
         F.transform(F.filter("p", lambda s: s["removed"]), lambda s: s["idx"]).alias("removed"),

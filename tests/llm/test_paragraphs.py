@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from shelfspark.llm import paragraphs as P
 from tests.conftest import SMALL
@@ -173,3 +174,23 @@ def test_bands_of_a_large_batch_are_made_in_parts():
     tracemalloc.stop()
     assert ids == list(range(2_900)) and sum(made) == 2_900 * bands
     assert peak < 2_900 * bands * 8
+
+
+def test_texts_are_cut_into_lines_twice_and_bands_are_those_of_the_lines(spark, monkeypatch):
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(40))
+    same = line()
+    rows = [(1, f"{same}\nshort\n{line()}"), (2, None), (3, same), (None, "short\nlines"), (4, f"{line()}\n{same}\n{same} x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pages = P._pages(docs, "doc_id", "text").orderBy("row_id").collect()
+    assert [[p["idx"] for p in r["lines"]] for r in pages] == [[0, 2], [], [0], [], [0, 1, 2]]
+    made = [(b["id"], b["buckets"]) for r in pages for b in r["bands"]]
+    lines = docs.select(F.explode(P._lines(F.coalesce("text", F.lit("")))).alias("p")).select(P._hashes(F.col("p.words")).alias("hashes"))
+    want = P._bands(lines.select(F.xxhash64("hashes").alias("id"), "hashes"), P.BANDS, P.BAND_ROWS).collect()
+    # equal lines of a batch once
+    assert len(made) == 4 and sorted(made) == sorted((r["id"], r["buckets"]) for r in want)
+    cut = []
+    real = P.written
+    monkeypatch.setattr(P, "written", lambda df, name: cut.append("lower(" in df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    P.paragraph_report(docs).collect()
+    assert sum(cut) == 2
