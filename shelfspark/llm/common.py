@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.session import scratch_path, ship_package
+from shelfspark.session import BROADCAST_ROWS, scratch_path, ship_package
 
 # bytes of a text that are split into words at once
 WORD_CHUNK = 1 << 22
@@ -33,6 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_rows(table: DataFrame) -> DataFrame:
+    """A written table, sent to all tasks of its joins if it has at most BROADCAST_ROWS rows, else shuffled.
+
+    Spark goes by the bytes of files, which say little of the rows in them.
+    """
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
 def key_filter(keys: DataFrame, key: str) -> np.ndarray:
     """A bitmap of hashed long keys: FILTER_BITS bits for each, up to a fixed size.
 
@@ -137,12 +145,13 @@ def link_within_buckets(members: DataFrame, verified: Callable[[DataFrame], Data
     Returns (id, root) for linked ids.
     """
     sizes = members.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = written(members.join(sizes.drop("n"), "bucket"), "members")
+    # members come from an explode, which Spark takes for no larger than its input: both sides are shuffled, whatever it expects
+    shared = written(members.hint("merge").join(sizes.drop("n"), "bucket"), "members")
     if prepare:
         prepare(shared.select("id").distinct())
     stars = (shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
     first = written(verified(stars), "stars")
-    roots = components(first)
+    roots = by_rows(components(first))
     placed = written(shared.join(roots, "id", "left").select(
         "bucket", "id", F.coalesce("root", "id").alias("root")), "placed")
     if deal_again:
@@ -180,19 +189,19 @@ def _cross(placed: DataFrame, sketches: DataFrame | None = None, possible: Calla
 
     With sketches, only the pairs whose sketches can be a link.
     """
-    split = placed.join(_parts(placed).drop("parts"), "bucket")
+    split = placed.join(by_rows(written(_parts(placed).drop("parts"), "parts")), "bucket")
     split = split.withColumn("sketch", F.lit(None)) if sketches is None else split.join(sketches, "id")
     outside = split.where("root <> top").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
     inside = split.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("main"),
                           F.col("sketch").alias("sb"))
     fits = F.lit(True) if possible is None else possible(F.col("sa"), F.col("sb"))
-    return (outside.join(inside, "bucket").where("ra <> rb and (main or a < b)").where(fits)
+    return (outside.hint("merge").join(inside, "bucket").where("ra <> rb and (main or a < b)").where(fits)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def with_components(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """`rows` with the root of their key, the key itself where it has no link."""
-    named = roots.select(F.col("id").alias(key), F.col("root"))
+    named = by_rows(roots.select(F.col("id").alias(key), F.col("root")))
     return rows.join(named, key, "left").withColumn("root", F.coalesce("root", key))
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import link_within_buckets, with_components, word_runs, written
+from shelfspark.llm.common import by_rows, link_within_buckets, with_components, word_runs, written
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -112,7 +112,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, words_per_shingle:
     roots = link_within_buckets(members, lambda pairs: pairs.where(near_pairs("a", "b", radius)))
     placed = with_components(prints.select("doc_id", "fp"), roots, "fp")
     placed = written(placed, "placed")
-    lowest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    lowest = by_rows(written(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest"))
     return placed.join(lowest, "root").select("doc_id", "fp", "component_id")
 
 

@@ -6,7 +6,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from shelfspark.llm import simhash
+from shelfspark.llm import common, simhash
 from shelfspark.llm.common import components
 from tests.conftest import SMALL
 
@@ -94,3 +94,25 @@ def test_components_of_a_path(spark):
     more = spark.createDataFrame([(500, 400), (400, 400), (450, 500)], "a long, b long")
     got = {r["id"]: r["root"] for r in components(links.unionByName(more)).collect()}
     assert got == {**{i: 0 for i in range(201)}, 400: 400, 450: 400, 500: 400}
+
+
+def test_members_are_shuffled_though_their_tables_look_small(spark, monkeypatch):
+    """An explode of 31 masks has 31 times the rows that Spark expects; no join may send it to the driver."""
+    plans, write = {}, common.written
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", seen)
+    monkeypatch.setattr(simhash, "written", seen)
+    df = spark.createDataFrame([(i, f"a b c d e f g h i j k{i % 30} l{i % 7}") for i in range(200)], "doc_id long, text string")
+    few = sorted(simhash.simhash_components(df).collect())
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans["members"]) and plans["members"]
+    # tables of more rows than a broadcast takes are shuffled as well
+    plans.clear()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    many = simhash.simhash_components(df)
+    assert not any("Broadcast" in p for name in ("members", "placed") for p in plans[name])
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString() and sorted(many.collect()) == few
