@@ -66,7 +66,7 @@ def write_blocks(index: SearchIndex, path: str, buckets: int = 64, block_rows: i
         width *= 2
     spark.createDataFrame([(n_docs, width)], "n_docs bigint, cell_docs bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
     index.term_stats.select("field", "term", "df", "idf", term_bucket(F.col("term"), buckets).alias("term_bucket")) \
-        .write.mode("overwrite").parquet(f"{path}/term_stats")
+        .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/term_stats")
     key = ["term_bucket", "field", "term", "cell"]
     rows = (index.postings.select("field", "term", "doc_id", "norm", high, low.alias("low")).join(offsets, "high")
             .select(term_bucket(F.col("term"), buckets).alias("term_bucket"), "field", "term", F.expr(f"(offset + low) DIV {width}").alias("cell"),
@@ -79,9 +79,9 @@ def write_blocks(index: SearchIndex, path: str, buckets: int = 64, block_rows: i
      .select(*key, "block", "postings", F.get("postings", F.lit(0))["doc_no"].alias("first"),
              F.element_at("postings", -1)["doc_no"].alias("last"), F.size("postings").cast("bigint").alias("n"),
              F.array_max("postings.norm").alias("max_norm"))
-     .sortWithinPartitions(*key, "block").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/blocks"))
+     .sortWithinPartitions(*key, "block").write.mode("overwrite").option("compression", "zstd").partitionBy("term_bucket").parquet(f"{path}/blocks"))
     # the small columns by themselves, so that a search does not read row groups full of postings to skip them
-    spark.read.parquet(f"{path}/blocks").drop("postings").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/headers")
+    spark.read.parquet(f"{path}/blocks").drop("postings").write.mode("overwrite").option("compression", "zstd").partitionBy("term_bucket").parquet(f"{path}/headers")
     return read_blocks(spark, path)
 
 
